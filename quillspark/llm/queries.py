@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat_format, exact_dedup, mixing, quality_rules, secret_scan, toxicity
+from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, mixing, quality_rules, secret_scan, toxicity
 from quillspark.session import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_spans(table(spark, sf_dir, "documents")))
 
@@ -49,6 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op6_chat_format": op6_chat_format,
     "op10_source_mixing": op10_source_mixing,
     "op9_toxicity": op9_toxicity,
