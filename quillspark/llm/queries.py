@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, mixing, quality_rules, secret_scan, toxicity
+from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, mixing, ngram_join, quality_rules, secret_scan, toxicity
 from quillspark.session import table
 
 
@@ -28,6 +28,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs, exact_dedup.halves(docs))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"), ngram_join.Join(size=3, num=90, den=100))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = quality_rules.clean_lines(docs)
@@ -53,6 +57,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_ngram_join": op7_ngram_join,
     "op1_html_extract": op1_html_extract,
     "op6_chat_format": op6_chat_format,
     "op10_source_mixing": op10_source_mixing,
