@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, mixing, ngram_join, quality_rules, secret_scan, toxicity
+from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, mixing, ngram_join, quality_rules, secret_scan, span_dedup, toxicity
 from quillspark.session import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op3_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.dedup_spans(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.load_codec(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents"), codec)
@@ -57,6 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_span_dedup": op3_span_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op1_html_extract": op1_html_extract,
     "op6_chat_format": op6_chat_format,
