@@ -140,7 +140,7 @@ def dedup(docs: DataFrame, is_snapshot: Column, doc_id: str = "doc_id", text: st
     plain = joined.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
     if not odd.isEmpty():
         plain = _regrouped(plain, odd)
-    return plain.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return plain.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _regrouped(plain: DataFrame, odd: DataFrame) -> DataFrame:
