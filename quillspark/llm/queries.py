@@ -85,6 +85,39 @@ SELECT doc_id,
 FROM n
 """
 
+_RULES = quality_rules.LineRules()
+OP8_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) AS r(j) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w)),
+j AS (
+  SELECT doc_id, x, len(lw) AS n, list_sum(list_transform(lw, lambda z: len(z))) AS chars,
+         len(x) - len(translate(x, '#*$%&|<>', '')) AS sym,
+         len(list_filter(lw, lambda z: ends_with(z, '!!'))) AS shout,
+         len(list_filter(lw, lambda z: list_contains(['|', '>', '»', '•'], z))) AS bars,
+         CASE WHEN len(lw) < 5 THEN 0 ELSE len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) END AS stut
+  FROM l WHERE len(lw) > 0),
+d AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines,
+         coalesce(sum(chars) FILTER (WHERE sym * 100 <= n * {_RULES.symbol_pct} AND shout * 100 <= n * {_RULES.shout_pct} AND bars * 10 < n * {_RULES.bars}
+           AND stut * 100 <= n * {_RULES.stutter_pct} AND NOT regexp_matches(x, '{_RULES.boilerplate}')), 0) AS kept_chars
+  FROM j GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda z: len(z))), 0)::BIGINT AS word_chars,
+         (len(t) - len(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_chars, 0)::BIGINT AS kept_chars
+  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < {_RULES.min_words} OR n_repeat_words * 100 > n_words * {_RULES.max_repeat_pct} AS base_failed,
+       NOT (n_words < {_RULES.min_words} OR n_repeat_words * 100 > n_words * {_RULES.max_repeat_pct}) AND kept_chars * 100 >= word_chars * {100 - _RULES.max_lost_pct} AS kept
+FROM m
+"""
+
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": OP8_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
