@@ -114,7 +114,7 @@ def frequent_tokens(rows: DataFrame, join: Join) -> Orders:
                         seen.add(key)
                         parts.append(s)
                         held += len(s)
-            if held > 6_000_000:
+            if held > 2_500_000:
                 yield from counted(parts)
                 parts, held = [], 0
         yield from counted(parts)
