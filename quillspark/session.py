@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_BATCH = 1000
 ROOT = Path(__file__).resolve().parent.parent
 
 DEFAULTS = {
@@ -40,6 +41,9 @@ def ship_code(spark: SparkSession) -> None:
     need no folder in common with the driver.
     """
     sc = spark.sparkContext
+    # Rows here are whole texts or sets: the default of 10,000 a batch would be too much memory at once.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     if sc.master == "local" or sc.master.startswith("local["):
         paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
         if str(ROOT) not in paths:
