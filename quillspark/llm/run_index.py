@@ -17,8 +17,14 @@ import numpy as np
 
 def bounded_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """Rank of the first ``depth`` symbols at every position (fewer at the end), by doubling."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    have = 1
+    # Seven symbols of nine bits fill a word, so the first three doublings are one sort.
+    have = min(7, depth)
+    key = np.zeros(len(text), np.uint64)
+    for k in range(have):
+        symbol = np.zeros(len(text), np.uint64)
+        symbol[: len(text) - k] = text[k:].astype(np.uint64) + np.uint64(1)
+        key = (key << np.uint64(9)) | symbol
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
     while have < depth:
         step = min(have, depth - have)
         shifted = np.zeros_like(rank)
@@ -29,7 +35,7 @@ def bounded_ranks(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class RunIndex:
-    """Index of ``text`` (uint16 symbols below 512, so separators can differ from bytes)."""
+    """Index of ``text`` (uint16 symbols below 511, so separators can differ from bytes)."""
 
     def __init__(self, text: np.ndarray, depth: int):
         self.depth, self.text = depth, text

@@ -25,6 +25,7 @@ other; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ SALTS = 4
 #: Bytes of text whose anchors share a bucket, and bytes of regions that share an index.
 ANCHOR_BUCKET = 24 << 20
 INDEX_BUCKET = 3 << 20
+SEGMENT = 1024
 
 
 def anchors(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,43 +101,63 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
         yield (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit values as deflated planes of the bytes of their differences."""
+    gaps = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def anchor_blobs(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, salt, h, id, place): packed anchors. salt -1 holds each task's smallest id per hash."""
+    """(bucket, salt, h, doc, place, ids): packed anchors of a batch.
+
+    Hashes keep their upper half, which with the bucket is enough to screen by.
+    Rows of salt -1 hold one anchor per hash, in hash order: the smallest id and
+    (as place) whether another document of the batch holds it too. The others
+    hold all places, in order of document and place. doc counts into ids.
+    """
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            got = list(_located(ids, _bytes(batch.column(1))))
+            names = np.unique(ids)
+            got = list(_located(np.searchsorted(names, ids), _bytes(batch.column(1))))
             if not got:
                 continue
             h, doc, place = (np.concatenate(x) for x in zip(*got, strict=True))
-            by = np.lexsort((place, doc, h))
-            h, doc, place = h[by], doc[by], place[by]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
             where = (h % np.uint64(buckets)).astype(np.int64)
-            salt = int(h[0] >> np.uint64(20)) % SALTS
-            out: list[tuple] = []
-            order = np.argsort(where, kind="stable")
+            h = (h >> np.uint64(32)).astype(np.uint32)
+            table = zlib.compress(names.tobytes(), 1)
+            salt = int(h[0]) % SALTS
+            order = np.lexsort((place, doc, where))
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+            out: list[tuple] = []
             for b in range(buckets):
                 mine = order[cuts[b] : cuts[b + 1]]
                 if not len(mine):
                     continue
-                # The source search needs the smallest id and whether another one holds the hash too.
-                top = mine[first[mine]]
-                group = np.searchsorted(h[top], h[mine])
-                many = np.zeros(len(top), bool)
-                np.logical_or.at(many, group, doc[mine] != doc[top][group])
-                out.append((b, -1, _low(h[top]), doc[top].tobytes(), many.astype(np.uint8).tobytes()))
-                out.append((b, salt, _low(h[mine]), doc[mine].tobytes(), place[mine].astype(np.uint32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], ["bucket", "salt", "h", "id", "place"])
+                out.append((b, salt, h[mine].tobytes(), _pack(doc[mine]), _pack(place[mine]), table))
+                by = np.lexsort((doc[mine], h[mine]))
+                mh, md = h[mine][by], doc[mine][by]
+                first = np.flatnonzero(np.concatenate([[True], mh[1:] != mh[:-1]]))
+                last = np.concatenate([first[1:], [len(mh)]]) - 1
+                out.append((b, -1, _pack(mh[first]), _pack(md[first]), _pack((md[first] != md[last]).astype(np.uint32)), table))
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["bucket", "salt", "h", "doc", "place", "ids"])
 
-    return rows.mapInArrow(body, "bucket int, salt int, h binary, id binary, place binary")
+    return rows.mapInArrow(body, "bucket int, salt int, h binary, doc binary, place binary, ids binary")
 
 
-def _low(h: np.ndarray) -> bytes:
-    """The upper half of the hashes; with the bucket that is enough to screen by."""
-    return (h >> np.uint64(32)).astype(np.uint32).tobytes()
+def _opened(table: pa.Table, packed_hashes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, id, place) of all blobs of a group."""
+    parts: list[tuple] = []
+    for h, doc, place, ids in zip(*(table.column(c).to_pylist() for c in ("h", "doc", "place", "ids")), strict=True):
+        parts.append((_unpack(h) if packed_hashes else np.frombuffer(h, np.uint32), np.frombuffer(zlib.decompress(ids), np.int64)[_unpack(doc)], _unpack(place)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -146,7 +168,7 @@ def sources(blobs: DataFrame) -> DataFrame:
     """(bucket, h, src): packed hashes that two documents or more hold, with the smallest."""
 
     def body(group: pa.Table) -> pa.Table:
-        h, doc, many = _joined(group.column("h"), np.uint32), _joined(group.column("id"), np.int64), _joined(group.column("place"), np.uint8)
+        h, doc, many = _opened(group, True)
         by = np.lexsort((doc, h))
         h, doc, many = h[by], doc[by], many[by]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -154,14 +176,14 @@ def sources(blobs: DataFrame) -> DataFrame:
         shared = np.logical_or.reduceat(many.astype(bool), first) | (doc[first] != doc[last])
         return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()), "h": pa.array([h[first[shared]].tobytes()], pa.binary()), "src": pa.array([doc[first[shared]].tobytes()], pa.binary())})
 
-    return blobs.filter("salt = -1").select("bucket", "h", "id", "place").groupBy("bucket").applyInArrow(body, "bucket int, h binary, src binary")
+    return blobs.filter("salt = -1").groupBy("bucket").applyInArrow(body, "bucket int, h binary, src binary")
 
 
 def shared_places(blobs: DataFrame, found: DataFrame) -> DataFrame:
     """(id, src, place) of every anchor that has a source."""
 
     def body(occurrences: pa.Table, known: pa.Table) -> pa.Table:
-        h, doc, place = _joined(occurrences.column("h"), np.uint32), _joined(occurrences.column("id"), np.int64), _joined(occurrences.column("place"), np.uint32)
+        h, doc, place = _opened(occurrences, False) if occurrences.num_rows else (np.zeros(0, np.uint32),) * 3
         key, src = _joined(known.column("h"), np.uint32), _joined(known.column("src"), np.int64)
         if not len(key) or not len(h):
             return pa.table({"id": pa.array([], pa.int64()), "src": pa.array([], pa.int64()), "place": pa.array([], pa.int64())})
@@ -200,6 +222,28 @@ def regions(rows: DataFrame, places: DataFrame) -> DataFrame:
     return joined.mapInArrow(body, "id long, src long, start long, size long, n_bytes long, data binary, sha string")
 
 
+def _streamed(index: RunIndex, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matching statistics of all regions. A match looks at most LENGTH ahead, so
+    long regions stream as segments that overlap by LENGTH and keep what lies before."""
+    counts = np.maximum(1, -(-(ends - begins) // SEGMENT))
+    owner = np.repeat(np.arange(len(begins)), counts)
+    first = begins[owner] + SEGMENT * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
+    # Odd and even segments apart: neighbours overlap in the arrays that a pass fills.
+    length, row = np.zeros(len(text), np.int16), np.zeros(len(text), np.int64)
+    for turn in (0, 1):
+        mine = first[turn::2]
+        if not len(mine):
+            continue
+        whose = ends[owner[turn::2]]
+        some_length, some_row = index.stream(text, mine, np.minimum(mine + SEGMENT + LENGTH, whose))
+        keep = np.zeros(len(text) + 1, np.int32)
+        np.add.at(keep, mine, 1)
+        np.add.at(keep, np.minimum(mine + SEGMENT, whose), -1)
+        inside = np.cumsum(keep[:-1]) > 0
+        length[inside], row[inside] = some_length[inside], some_row[inside]
+    return length, row
+
+
 def removed(found: DataFrame, buckets: int) -> DataFrame:
     """(id, start, size): runs of bytes to remove, from the regions of src >= 0."""
     named = found.filter("src >= 0").withColumn("key", F.sha2("data", 256)).withColumn("salt", F.abs(F.xxhash64("id") % 64).cast("int"))
@@ -216,7 +260,7 @@ def removed(found: DataFrame, buckets: int) -> DataFrame:
         data = group.column("data").combine_chunks()
         parts: list[np.ndarray] = []
         for k, i in enumerate(by.tolist()):
-            parts += [np.frombuffer(data[i].as_buffer(), np.uint8).astype(np.uint16), np.array([256 + k % 256], np.uint16)]
+            parts += [np.frombuffer(data[i].as_buffer(), np.uint8).astype(np.uint16), np.array([256 + k % 250], np.uint16)]
         text = np.concatenate(parts)
         ends = np.cumsum([len(p) for p in parts])[::2]
         begins = ends - np.array([len(p) for p in parts[::2]])
@@ -224,7 +268,7 @@ def removed(found: DataFrame, buckets: int) -> DataFrame:
         # Regions lie in the order of ids, so a group's first position is in its smallest document.
         lowest = ids[np.searchsorted(ends, index.lowest_position(), "right").clip(max=len(ids) - 1)]
         index.drop_order()
-        length, row = index.stream(text, begins, ends)
+        length, row = _streamed(index, text, begins, ends)
         out: list[tuple[int, int, int]] = []
         for k in range(len(ids)):
             a, b = int(begins[k]), int(ends[k])
