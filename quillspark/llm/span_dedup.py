@@ -18,8 +18,7 @@ A byte goes if a 50-byte string over it also starts in a document of smaller id.
 
 Defined results: null or empty text has 0 bytes and the digest of nothing;
 strings never cross documents; documents below 50 bytes are kept; rows that
-share an id are taken as one document each against others, never against each
-other; an empty table gives an empty result; extra columns are ignored.
+share an id are meant to be equal rows, and never remove from each other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -196,7 +195,7 @@ def shared_places(blobs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, src, start, size, n_bytes, data, sha): regions; src -1 rows carry whole documents."""
+    """(id, src, start, size, data): the regions of all documents with shared anchors."""
     per_doc = places.groupBy("id").agg(F.collect_list(F.struct("place", "src")).alias("hits"))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,22 +203,23 @@ def regions(rows: DataFrame, places: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for i, t, hits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                if not hits.is_valid:
-                    out.append((i, -1, 0, 0, len(data), None, hashlib.sha256(data).hexdigest()))
-                    continue
-                out.append((i, -1, 0, 0, len(data), data, None))
                 place, src = hits.values.field(0).to_numpy(), hits.values.field(1).to_numpy()
                 by = np.lexsort((place, src))
                 place, src = place[by], src[by]
                 low, high = np.maximum(0, place - WINDOW + 1), np.minimum(len(data), place + LENGTH)
+                inside = low < high  # places of another row that shares the id may lie beyond this text
+                src, low, high = src[inside], low[inside], high[inside]
+                if not len(src):
+                    continue
                 cut = np.flatnonzero(np.concatenate([[True], (src[1:] != src[:-1]) | (low[1:] > high[:-1])]))
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(src)], strict=True):
-                    s, e = int(low[a]), int(high[b - 1])
-                    out.append((i, int(src[a]), s, e - s, len(data), data[s:e], None))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()])], ["id", "src", "start", "size", "n_bytes", "data", "sha"])
+                last = np.append(cut[1:], len(src)) - 1
+                for owner, s, e in zip(src[cut].tolist(), low[cut].tolist(), high[last].tolist(), strict=True):
+                    out.append((i, owner, s, e - s, data[s:e]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["id", "src", "start", "size", "data"])
 
-    joined = rows.join(per_doc, rows.doc_id == per_doc.id, "left").select("doc_id", "text", "hits")
-    return joined.mapInArrow(body, "id long, src long, start long, size long, n_bytes long, data binary, sha string")
+    joined = rows.join(per_doc, rows.doc_id == per_doc.id).select("doc_id", "text", "hits")
+    return joined.mapInArrow(body, "id long, src long, start long, size long, data binary")
 
 
 def _streamed(index: RunIndex, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,13 +246,15 @@ def _streamed(index: RunIndex, text: np.ndarray, begins: np.ndarray, ends: np.nd
 
 def removed(found: DataFrame, buckets: int) -> DataFrame:
     """(id, start, size): runs of bytes to remove, from the regions of src >= 0."""
-    named = found.filter("src >= 0").withColumn("key", F.sha2("data", 256)).withColumn("salt", F.abs(F.xxhash64("id") % 64).cast("int"))
-    part = named.groupBy("src", "key", "salt").agg(F.min("id").alias("first"))
-    first = part.groupBy("src", "key").agg(F.min("first").alias("first"))
-    part = part.drop("first").join(first, ["src", "key"])
-    marked = named.join(part, ["src", "key", "salt"])
-    copies = marked.filter((F.col("id") > F.col("first")) & (F.col("size") >= LENGTH)).select("id", "start", "size")
-    models = marked.filter(F.col("id") == F.col("first")).select(F.pmod(F.xxhash64("src"), F.lit(buckets)).alias("bucket"), "id", "start", "data")
+    named = found.withColumn("key", F.sha2("data", 256)).withColumn("salt", F.abs(F.xxhash64("id") % 64).cast("int"))
+    # The bytes of equal regions are combined before the shuffle; what joins back has none.
+    models = named.groupBy("src", "key").agg(F.min(F.struct("id", "start", "data")).alias("m"))
+    models = materialise(models.select("src", "key", "m.*"), "models")
+    slim = named.select("src", "key", "salt", "id", "start", "size").filter(F.col("size") >= LENGTH)
+    part = slim.select("src", "key", "salt").distinct().join(models.select("src", "key", F.col("id").alias("first")), ["src", "key"])
+    copies = slim.join(part, ["src", "key", "salt"]).filter(F.col("id") > F.col("first")).select("id", "start", "size")
+    # Equal regions of one document beside the model's: their strings start in it, not in a smaller one.
+    models = models.select(F.pmod(F.xxhash64("src"), F.lit(buckets)).alias("bucket"), "id", "start", "data")
 
     def body(group: pa.Table) -> pa.Table:
         by = np.lexsort((group.column("start").to_numpy(), group.column("id").to_numpy()))
@@ -269,19 +271,16 @@ def removed(found: DataFrame, buckets: int) -> DataFrame:
         lowest = ids[np.searchsorted(ends, index.lowest_position(), "right").clip(max=len(ids) - 1)]
         index.drop_order()
         length, row = _streamed(index, text, begins, ends)
-        out: list[tuple[int, int, int]] = []
-        for k in range(len(ids)):
-            a, b = int(begins[k]), int(ends[k])
-            full = np.flatnonzero(length[a:b] >= LENGTH)
-            if not len(full):
-                continue
-            full = full[lowest[index.group_of(row[a:b][full])] < ids[k]]
-            if not len(full):
-                continue
-            cut = np.flatnonzero(np.concatenate([[True], np.diff(full) > LENGTH]))
-            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(full)], strict=True):
-                out.append((int(ids[k]), int(starts[k] + full[x]), int(full[y - 1] - full[x]) + LENGTH))
-        return pa.table({n: pa.array([o[k] for o in out], pa.int64()) for k, n in enumerate(["id", "start", "size"])})
+        at = np.flatnonzero(length >= LENGTH)
+        owner = np.searchsorted(ends, at, "right")
+        known = lowest[index.group_of(row[at])] < ids[owner]
+        at, owner = at[known], owner[known]
+        if not len(at):
+            return pa.table({n: pa.array([], pa.int64()) for n in ("id", "start", "size")})
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > LENGTH) | (np.diff(owner) > 0)]))
+        last = at[np.append(cut[1:], len(at)) - 1]
+        first, owner = at[cut], owner[cut]
+        return pa.table({"id": ids[owner], "start": starts[owner] + first - begins[owner], "size": last - first + LENGTH})
 
     return copies.unionByName(models.groupBy("bucket").applyInArrow(body, "id long, start long, size long"))
 
@@ -294,29 +293,24 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     blobs = anchor_blobs(rows, max(8, -(-total // ANCHOR_BUCKET)))
     places = shared_places(blobs, sources(blobs))
     found = materialise(regions(rows, places), "regions")
-    size = found.filter("src >= 0").agg(F.sum("size")).first()[0] or 0
+    size = found.agg(F.sum("size")).first()[0] or 0
     gone = removed(found, max(8, -(-size // INDEX_BUCKET)))
     spans = gone.groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    whole = found.filter("src = -1").select(F.col("id").alias("doc_id"), "n_bytes", "data", "sha")
-
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, n, data, sha, spans in zip(*(batch.column(c) for c in range(5)), strict=True):
+            for i, text, spans in zip(*(batch.column(c) for c in range(3)), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 runs: list[list[int]] = []
                 for s in sorted((x["start"], x["start"] + x["size"]) for x in spans.as_py() or []):
                     if runs and s[0] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], s[1])
                     else:
                         runs.append(list(s))
-                kept, digest = None, sha.as_py()
-                if digest is None:
-                    raw = data.as_py()
-                    edges = [0, *(x for r in runs for x in r), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    digest = hashlib.sha256(kept).hexdigest()
-                out.append((i.as_py(), n.as_py(), sum(b - a for a, b in runs), len(runs), digest, kept if runs else None))
+                edges = [0, *(x for r in runs for x in r), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else raw
+                out.append((i.as_py(), len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept if runs else None))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = whole.join(spans, whole.doc_id == spans.id, "left").select("doc_id", "n_bytes", "data", "sha", "spans")
+    joined = rows.join(spans, rows.doc_id == spans.id, "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(body, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
