@@ -27,8 +27,8 @@ def keyword_judge(misses: DataFrame) -> DataFrame:
 def evaluate(candidates: DataFrame, criteria: DataFrame, cache: DataFrame, judge: Callable[[DataFrame], DataFrame] = keyword_judge) -> tuple[DataFrame, DataFrame]:
     """(all evaluations, fresh ones to append). Candidates are few: what a top-k left."""
     active = criteria.filter("ativo")
-    # Criteria are a seed table of a few rows; every candidate meets every criterion by definition.
-    wanted = candidates.crossJoin(F.broadcast(active.limit(1000)))
+    # Every candidate left by a top-k meets every active criterion by definition; both sides are a few rows.
+    wanted = candidates.crossJoin(active)
     misses = wanted.join(cache.select(*KEYS), KEYS, "left_anti")
     fresh = judge(misses).withColumn("citacao_verificada", citation_verified(F.col("texto"), F.col("trecho_citado")))
     fresh = fresh.select(*KEYS, "atende", F.col("score").cast("decimal(4,3)").alias("score"), "trecho_citado", "citacao_verificada")
