@@ -7,6 +7,7 @@ several orders at once; the filters are intersected before sets are compared:
 * orders put tokens known to be frequent last and break ties by a hash with the
   order's own seed; the table of frequent tokens is bounded by ``most_frequent``
   and only steers the order, so results never depend on it;
+* a bit map of fixed size tells tokens that stand alone, which make no postings;
 * equal sets become one class first (copies cost nothing further);
 * small token groups make pairs under order A and under order B, which are
   joined with each other; the third order is tested beside the sets;
@@ -23,6 +24,7 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +42,7 @@ SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 LIGHT = 24
 BLOCK = 256
 SALTS = 64
+CELL_BITS = 28
 
 
 @dataclass(frozen=True)
@@ -133,28 +136,85 @@ def frequent_tokens(rows: DataFrame, join: Join) -> Orders:
     return Orders(got.column("tok").to_numpy().view(np.uint64), got.column("n").to_numpy())
 
 
-def postings(rows: DataFrame, join: Join, orders: object, count: int = 2) -> DataFrame:
-    """(ord, tok, id, n): prefix tokens under the first ``count`` orders; equal sets of a task once."""
+def _prefix_tokens(batch: pa.RecordBatch, join: Join, own: Orders, seen: set, count: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(per order and document: (order, id, set size, prefix), all their cells) of a batch; equal sets of a task once."""
+    for ids, sets in _sets(batch, join.size):
+        found = []
+        for i, s in zip(ids, sets, strict=True):
+            key = xxhash.xxh3_128_digest(s.tobytes())
+            if not len(s) or i is None or key in seen:
+                continue
+            seen.add(key)
+            for k in range(count):
+                found.append((k, i, len(s), own.prefix(s, k, join.prefix(len(s)))))
+        if found:
+            tokens = np.concatenate([f[3] for f in found])
+            which = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[3]) for f in found])
+            yield found, (mix(tokens + which) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _bits(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return cells >> 3, np.left_shift(1, cells & 7).astype(np.uint8)
+
+
+def shared_cells(rows: DataFrame, join: Join, orders: object, count: int = 2) -> np.ndarray:
+    """A bit map of the hash cells that two prefix tokens or more fall into.
+
+    A token alone in its cell is in one document, so it can make no candidate.
+    The map has 2**CELL_BITS bits at every size of input: it thins the postings
+    of small corpora greatly and of huge ones less, and loses no shared token.
+    """
+    size, parts = 1 << (CELL_BITS - 3), 64
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = orders.value, set()
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        salt = 0
+        for batch in batches:
+            for _, cells in _prefix_tokens(batch, join, own, seen, count):
+                cells.sort()
+                same = cells[1:] == cells[:-1]
+                at, bit = _bits(cells[1:][same])
+                np.bitwise_or.at(twice, at, bit)
+                at, bit = _bits(cells[np.concatenate([[True], ~same])])
+                known = once[at] & bit
+                np.bitwise_or.at(twice, at, known)
+                np.bitwise_or.at(once, at, bit)
+                salt = int(cells[0]) % SALTS
+        for p in range(parts):
+            part = slice(p * size // parts, (p + 1) * size // parts)
+            if once[part].any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(once[part].tobytes(), 1)]), pa.array([zlib.compress(twice[part].tobytes(), 1)])], ["part", "salt", "once", "twice"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        once, twice = np.zeros(size // parts, np.uint8), np.zeros(size // parts, np.uint8)
+        for a, b in zip(group.column("once"), group.column("twice"), strict=True):
+            more = np.frombuffer(zlib.decompress(a.as_buffer()), np.uint8)
+            twice |= np.frombuffer(zlib.decompress(b.as_buffer()), np.uint8) | (once & more)
+            once |= more
+        return pa.table({"part": group.column("part")[:1], "salt": group.column("salt")[:1], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+
+    schema = "part int, salt int, once binary, twice binary"
+    merged = rows.mapInArrow(task, schema).groupBy("part", "salt").applyInArrow(merge, schema).groupBy("part").applyInArrow(merge, schema)
+    out = np.zeros(size, np.uint8)
+    for part, twice in merged.select("part", "twice").collect():  # 2**CELL_BITS bits in all
+        out[part * size // parts : (part + 1) * size // parts] = np.frombuffer(zlib.decompress(twice), np.uint8)
+    return out
+
+
+def postings(rows: DataFrame, join: Join, orders: object, shared: object, count: int = 2) -> DataFrame:
+    """(ord, tok, id, n): prefix tokens under the first ``count`` orders that may have company."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = orders.value
-        seen: set[bytes] = set()
+        own, map_, seen = orders.value, shared.value, set()
         for batch in batches:
-            for ids, sets in _sets(batch, join.size):
-                toks, who, sizes, which = [], [], [], []
-                for i, s in zip(ids, sets, strict=True):
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    if not len(s) or i is None or key in seen:
-                        continue
-                    seen.add(key)
-                    for k in range(count):
-                        p = own.prefix(s, k, join.prefix(len(s)))
-                        toks.append(p)
-                        who.append(np.full(len(p), i, np.int64))
-                        sizes.append(np.full(len(p), len(s), np.int32))
-                        which.append(np.full(len(p), k, np.int8))
-                if toks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which)), pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(sizes))], ["ord", "tok", "id", "n"])
+            for found, cells in _prefix_tokens(batch, join, own, seen, count):
+                at, bit = _bits(cells)
+                keep = (map_[at] & bit) != 0
+                lengths = [len(f[3]) for f in found]
+                columns = [np.repeat(np.array([f[k] for f in found], t), lengths)[keep] for k, t in ((0, np.int8), (1, np.int64), (2, np.int32))]
+                tokens = np.concatenate([f[3] for f in found])[keep].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(tokens), pa.array(columns[1]), pa.array(columns[2])], ["ord", "tok", "id", "n"])
 
     return rows.mapInArrow(body, "ord byte, tok long, id long, n int")
 
@@ -169,7 +229,8 @@ def linked(rows: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) between documents of different sets: enough to join every component."""
     sc = rows.sparkSession.sparkContext
     orders = sc.broadcast(frequent_tokens(rows, join))
-    posts = postings(rows, join, orders)
+    cells = sc.broadcast(shared_cells(rows, join, orders))
+    posts = materialise(postings(rows, join, orders, cells), "prefixes")
     groups = posts.groupBy("ord", "tok").agg(F.count("*").alias("cnt"), F.min("id").alias("center")).filter("cnt > 1")
     shared = materialise(posts.join(groups, ["ord", "tok"]), "postings")
     light, heavy = shared.filter(F.col("cnt") <= LIGHT), shared.filter(F.col("cnt") > LIGHT)
