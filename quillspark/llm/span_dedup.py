@@ -10,7 +10,8 @@ A byte goes if a 50-byte string over it also starts in a document of smaller id.
    and the places of shared anchors come back by (bucket, salt).
 3. Regions. Anchors of a document with one source that follow each other make
    one region (49 bytes wider than its anchors). Regions of equal bytes and
-   source keep their first document; later ones are removed whole.
+   source keep their first document; later ones are removed whole. Equal ones
+   of one document are one region with several starts.
 4. Index. Regions are dealt by source into buckets; a bucket's regions become a
    run-compressed transform with sampled run ends, through which every region
    streams its matching statistics. A match of 50 bytes leads to a row, its
@@ -195,7 +196,7 @@ def shared_places(blobs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, src, start, size, data): the regions of all documents with shared anchors."""
+    """(id, src, starts, size, data): the distinct regions of all documents with shared anchors."""
     per_doc = places.groupBy("id").agg(F.collect_list(F.struct("place", "src")).alias("hits"))
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +214,15 @@ def regions(rows: DataFrame, places: DataFrame) -> DataFrame:
                     continue
                 cut = np.flatnonzero(np.concatenate([[True], (src[1:] != src[:-1]) | (low[1:] > high[:-1])]))
                 last = np.append(cut[1:], len(src)) - 1
+                starts: dict[tuple[int, bytes], list[int]] = {}
                 for owner, s, e in zip(src[cut].tolist(), low[cut].tolist(), high[last].tolist(), strict=True):
-                    out.append((i, owner, s, e - s, data[s:e]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["id", "src", "start", "size", "data"])
+                    starts.setdefault((owner, data[s:e]), []).append(s)
+                out += [(i, owner, at, len(part), part) for (owner, part), at in starts.items()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["id", "src", "starts", "size", "data"])
 
     joined = rows.join(per_doc, rows.doc_id == per_doc.id).select("doc_id", "text", "hits")
-    return joined.mapInArrow(body, "id long, src long, start long, size long, data binary")
+    return joined.mapInArrow(body, "id long, src long, starts array<long>, size long, data binary")
 
 
 def _streamed(index: RunIndex, text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,17 +251,19 @@ def removed(found: DataFrame, buckets: int) -> DataFrame:
     """(id, start, size): runs of bytes to remove, from the regions of src >= 0."""
     named = found.withColumn("key", F.sha2("data", 256)).withColumn("salt", F.abs(F.xxhash64("id") % 64).cast("int"))
     # The bytes of equal regions are combined before the shuffle; what joins back has none.
-    models = named.groupBy("src", "key").agg(F.min(F.struct("id", "start", "data")).alias("m"))
+    models = named.groupBy("src", "key").agg(F.min(F.struct("id", "starts", "data")).alias("m"))
     models = materialise(models.select("src", "key", "m.*"), "models")
-    slim = named.select("src", "key", "salt", "id", "start", "size").filter(F.col("size") >= LENGTH)
+    slim = named.select("src", "key", "salt", "id", "starts", "size").filter(F.col("size") >= LENGTH)
     part = slim.select("src", "key", "salt").distinct().join(models.select("src", "key", F.col("id").alias("first")), ["src", "key"])
-    copies = slim.join(part, ["src", "key", "salt"]).filter(F.col("id") > F.col("first")).select("id", "start", "size")
-    # Equal regions of one document beside the model's: their strings start in it, not in a smaller one.
-    models = models.select(F.pmod(F.xxhash64("src"), F.lit(buckets)).alias("bucket"), "id", "start", "data")
+    copies = slim.join(part, ["src", "key", "salt"]).filter(F.col("id") > F.col("first")).select("id", F.explode("starts").alias("start"), "size")
+    models = models.select(F.pmod(F.xxhash64("src"), F.lit(buckets)).alias("bucket"), "id", "starts", "data")
 
     def body(group: pa.Table) -> pa.Table:
-        by = np.lexsort((group.column("start").to_numpy(), group.column("id").to_numpy()))
-        ids, starts = group.column("id").to_numpy()[by], group.column("start").to_numpy()[by]
+        lists = group.column("starts").combine_chunks()
+        where, many = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        heads = np.cumsum(many) - many
+        by = np.lexsort((where[heads], group.column("id").to_numpy()))
+        ids, heads, many = group.column("id").to_numpy()[by], heads[by], many[by]
         data = group.column("data").combine_chunks()
         parts: list[np.ndarray] = []
         for k, i in enumerate(by.tolist()):
@@ -280,7 +285,11 @@ def removed(found: DataFrame, buckets: int) -> DataFrame:
         cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) > LENGTH) | (np.diff(owner) > 0)]))
         last = at[np.append(cut[1:], len(at)) - 1]
         first, owner = at[cut], owner[cut]
-        return pa.table({"id": ids[owner], "start": starts[owner] + first - begins[owner], "size": last - first + LENGTH})
+        # What goes from a region goes at each of its starts.
+        n = many[owner]
+        each = np.repeat(np.arange(len(owner)), n)
+        start = where[np.repeat(heads[owner] - np.cumsum(n) + n, n) + np.arange(len(each))]
+        return pa.table({"id": ids[owner[each]], "start": start + (first - begins[owner])[each], "size": (last - first + LENGTH)[each]})
 
     return copies.unionByName(models.groupBy("bucket").applyInArrow(body, "id long, start long, size long"))
 

@@ -128,6 +128,17 @@ def test_spans_odd(spark):
     assert span_dedup.dedup_spans(empty_docs(spark)).count() == 0
 
 
+def test_spans_twice_in_a_document(spark):
+    """A passage twice in one document, in equal surroundings that no earlier document has."""
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b, p, x, y, filler = (word(n) for n in (120, 120, 100, 120, 120, 300))
+    rows = {3: a + p + b, 5: x + p + y + filler + x + p + y, 6: x + p + y + "-" + x + p + y, 7: "".join(f"{x}{p}{y}{word(90)}" for _ in range(4)), 9: word(80) + p + word(80) + p}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in span_dedup.dedup_spans(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == plain_removed(rows)
+    assert got[5][1:3] == (200, 2)
+
+
 def test_run_index_statistics():
     import numpy as np
 
