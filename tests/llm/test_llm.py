@@ -238,6 +238,31 @@ def test_chat_finds_rewriting_templates():
     assert piece[a:b] == "<b>" and not rewritten
 
 
+def test_chat_renders_whole_prefixes(spark):
+    """Templates that look or change further back than any window."""
+
+    def alternating(turns):
+        assert all(role == ("user", "assistant")[i % 2] for i, (role, _) in enumerate(turns))
+        return "".join(f"{role}: {text}\n" for role, text in turns)
+
+    templates = {
+        "folds turn 1 at turn 20": lambda turns: "".join("[...]\n" if i == 0 and len(turns) >= 20 else f"{t}\n" for i, (_, t) in enumerate(turns)),
+        "last 20": lambda turns: "".join(f"{t}\n" for _, t in turns[-20:]),
+        "numbered": lambda turns: "".join(f"{i + 1}. {t}\n" for i, (_, t) in enumerate(turns)),
+        "newest first": lambda turns: "".join(f"{t}\n" for _, t in reversed(turns)),
+        "alternating": alternating,
+    }
+    said = [(("user", "assistant")[i % 2], f"word {i * 7} said") for i in range(30)]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(said)] + [(2, i, *t) for i, t in enumerate(said[:3])], "conv_id long, turn long, role string, text string")
+    for name, template in templates.items():
+        for r in chat_format.format_turns(rows, template).collect():
+            before, after = template(said[: r.turn]), template(said[: r.turn + 1])
+            assert r.rewritten == (not after.startswith(before)), (name, r.turn)
+            assert after[r.span_start :] == r.formatted and after[r.text_start : r.text_end] == said[r.turn][1], (name, r.turn)
+    whole, windowed = (chat_format.format_turns(rows, t).collect() for t in (lambda turns: chat_format.marked_turns(turns), chat_format.marked_turns))
+    assert sorted(whole) == sorted(windowed)
+
+
 # ---- 7
 
 
