@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -183,16 +184,25 @@ def has_all(words: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.array_contains(words, t) for t in terms], F.lit(True))
 
 
-def parse_query(query: str) -> Callable[[Column, Column], Column]:
-    """A predicate of (tokens, lower-cased text): words are AND, "or" is OR, -word is NOT, quotes are phrases."""
-    import re
-
+def _query_groups(query: str) -> list[list[tuple[bool, str]]]:
+    """Groups that are OR-ed, of (negated, word or phrase) that are AND-ed."""
     groups: list[list[tuple[bool, str]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
         if word == "or":
             groups.append([])
         else:
             groups[-1].append((bool(minus), phrase or word))
+    return groups
+
+
+def query_terms(query: str) -> list[str]:
+    """The distinct words that a query asks for, without the negated ones."""
+    return list(dict.fromkeys(w for g in _query_groups(query) for negated, term in g if not negated for w in re.split(r"[^\w]+|_", term) if w))
+
+
+def parse_query(query: str) -> Callable[[Column, Column], Column]:
+    """A predicate of (tokens, lower-cased text): words are AND, "or" is OR, -word is NOT, quotes are phrases."""
+    groups = _query_groups(query)
 
     def test(words: Column, text: Column) -> Column:
         def one(negated: bool, term: str) -> Column:

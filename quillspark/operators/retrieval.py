@@ -6,6 +6,7 @@ global window sees more than a few dozen rows. Long columns join after the cut.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,24 +29,25 @@ def _count_of(term: str) -> Column:
     return F.size(F.filter("w", lambda x: x == term))
 
 
-def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, all_terms: bool = False) -> DataFrame:
-    """(key, score) of documents with any (or all) of ``terms``; one pass, sums only are shared.
+def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, all_terms: bool = False, test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(key, score) of documents with any (or all) of ``terms``, or that pass ``test`` of (tokens, lower-cased text); one pass, sums only are shared.
 
     Term counts are columns, so nothing is exploded; document frequencies and
     the mean length are one aggregate joined back as a single row.
     """
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
-    counted = words.select(key, F.size("w").alias("dl"), *[_count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = docs.select(key, tokens(F.col(text)).alias("w"), *([] if test is None else [F.lower(F.coalesce(F.col(text), F.lit(""))).alias("l")]))
+    passed = [] if test is None else [test(F.col("w"), F.col("l")).alias("passed")]
+    counted = words.select(key, F.size("w").alias("dl"), *passed, *[_count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    matched = counted.filter(reduce((lambda x, y: x & y) if all_terms else (lambda x, y: x | y), hit))
+    matched = counted.filter(reduce((lambda x, y: x & y) if all_terms else (lambda x, y: x | y), hit) if test is None else F.col("passed"))
     joined = matched.join(F.broadcast(stats))  # one row by construction
 
     def part(i: int) -> Column:
         idf = F.log(1 + (F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         return idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
 
-    return joined.select(key, F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))]), 6).alias("score"))
+    return joined.select(key, F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))] or [F.lit(0.0)]), 6).alias("score"))
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -80,20 +82,31 @@ def fused_top(fused: DataFrame, limit: int) -> DataFrame:
     return fused.orderBy(F.desc("rrf_score"), F.asc_nulls_last("lex_pos"), F.asc_nulls_last("vec_pos"), "id").limit(limit)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, leg_limit: int = rules.LEG_LIMIT) -> DataFrame:
-    lexical = ranked(top_k(bm25(docs, terms), leg_limit, "doc_id"), "doc_id", "lex")
-    vector = ranked(top_k(vector_scores(vectors, query), leg_limit, "vec_id"), "vec_id", "vec")
+def leg(scored: DataFrame, key: str, k: int, named: DataFrame | None = None) -> DataFrame:
+    """Top-k of a leg. ``named`` (id, own): rows that hold a pseudonym of what the query names; own ones, whose
+    document gives it that meaning, stand first, the others count 1."""
+    hits = top_k(scored, k, key)
+    if named is None:
+        return hits
+    best = hits.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("best"))
+    extra = named.join(F.broadcast(best)).select(F.col("id").alias(key), F.when(F.col("own"), F.greatest(F.col("best"), F.lit(1.0)) + 1).otherwise(F.lit(1.0)).alias("score"))
+    return merge_extra_hits(hits, extra, key, k)
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, leg_limit: int = rules.LEG_LIMIT, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None) -> DataFrame:
+    lexical = ranked(leg(bm25(docs, terms, test=test), "doc_id", leg_limit, lex_named), "doc_id", "lex")
+    vector = ranked(leg(vector_scores(vectors, query), "vec_id", leg_limit, vec_named), "vec_id", "vec")
     return fused_top(fuse(lexical, vector), limit)
 
 
-def search(mode: str, docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int) -> DataFrame:
+def search(mode: str, docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None) -> DataFrame:
     """Mode dispatch: lexico, vetorial or hibrido."""
     if mode == "lexico":
-        return top_k(bm25(docs, terms), limit, "doc_id")
+        return leg(bm25(docs, terms, test=test), "doc_id", limit, lex_named)
     if mode == "vetorial":
-        return top_k(vector_scores(vectors, query), limit, "vec_id")
+        return leg(vector_scores(vectors, query), "vec_id", limit, vec_named)
     if mode == "hibrido":
-        return hybrid(docs, vectors, terms, query, limit)
+        return hybrid(docs, vectors, terms, query, limit, test=test, lex_named=lex_named, vec_named=vec_named)
     raise ValueError(f"unknown mode: {mode}")
 
 

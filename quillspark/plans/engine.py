@@ -6,7 +6,9 @@ them once, so a plan that runs twice does not log twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ MOST_CASES = 10
 
 @dataclass
 class Request:
+    """``consulta`` decides what matches and is ranked by; without it any of ``terms`` does."""
+
     terms: list[str]
     vector: list[float]
     consulta: str = ""
@@ -43,9 +47,13 @@ class Answer:
 
 
 class SearchEngine:
-    """Tables: documentos, entidades, chunks (chunk_id, documento_id, texto, eh_padronizado, embedding), criterios, avaliacoes."""
+    """Tables: documentos, entidades, chunks (chunk_id, documento_id, texto, eh_padronizado, embedding), criterios, avaliacoes.
+
+    ``embed`` makes the vector of a query text; without it the request's vector is used as it is.
+    """
 
-    def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame):
+    def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame, embed: Callable[[str], list[float]] | None = None):
+        self.embed = embed
         self.documentos, self.entidades, self.chunks, self.criterios, self.avaliacoes = documentos, entidades, chunks, criterios, avaliacoes
 
     def filtros(self) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +65,14 @@ class SearchEngine:
         wanted = R.prefilter(self.documentos, {"municipio": request.municipio, "tipo_documento": request.tipo_documento})
         pool = R.prefilter(self.chunks.join(wanted.select("documento_id"), "documento_id", "left_semi"), None, "eh_padronizado", request.incluir_padronizados)
         docs, vectors = pool.select("chunk_id", F.col("chunk_id").alias("doc_id"), F.col("texto").alias("text")), pool.select(F.col("chunk_id").alias("vec_id"), "embedding")
-        hits = R.search(request.modo, docs, vectors, request.terms, request.vector, request.limite)
+        terms, vector, test, named = request.terms, request.vector, None, None
+        if request.consulta.strip():
+            terms, test = T.query_terms(request.consulta), T.parse_query(request.consulta)
+            pseudonyms, named = self._named(request.consulta, pool)
+            if self.embed is not None:
+                vector = self.embed(" ".join([request.consulta, *pseudonyms]))
+        # A vector of the enriched text leads to the pseudonyms by itself; one that came with the request cannot.
+        hits = R.search(request.modo, docs, vectors, terms, vector, request.limite, test, named, named if self.embed is None else None)
         if request.modo == "lexico":
             hits = hits.withColumnRenamed("doc_id", "id")
         elif request.modo == "vetorial":
@@ -82,6 +97,17 @@ class SearchEngine:
         rows = rows.withColumns({"score_criterios": best, "resumo": T.summary_line(F.col("texto"))})
         return Answer(rows.orderBy(F.desc("score_criterios"), F.desc("pontuacao"), "chunk_id"), audit, fresh)
 
+    def _named(self, consulta: str, pool: DataFrame) -> tuple[list[str], DataFrame | None]:
+        """Pseudonyms of what the query names, and (id, own) of the chunks of ``pool`` that hold one."""
+        meant = M.resolve(consulta, self.entidades).select("valor", "pseudonimo")
+        pseudonyms = [r[0] for r in meant.select("pseudonimo").distinct().orderBy("pseudonimo").collect()]
+        if not pseudonyms:
+            return [], None
+        holds = reduce(lambda a, b: a | b, [F.contains("texto", F.lit(p)) for p in pseudonyms])
+        own = self.entidades.join(meant, ["valor", "pseudonimo"], "left_semi").groupBy("documento_id").agg(F.collect_set("pseudonimo").alias("__own"))
+        found = pool.filter(holds).join(own, "documento_id", "left")
+        return pseudonyms, found.select(F.col("chunk_id").alias("id"), F.coalesce(F.exists("__own", lambda p: F.contains("texto", p)), F.lit(False)).alias("own"))
+
     def documento_completo(self, documento_id: str, perfil: str) -> tuple[str, DataFrame | None]:
         """("ok", text) or ("proibido"/"ausente", None)."""
         row = self.documentos.filter(F.col("documento_id") == documento_id).select("nivel_restricao").first()

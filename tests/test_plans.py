@@ -46,6 +46,44 @@ def test_search(spark, corpus, mode):
     assert search.documento_completo(secret, "com_clearance")[1].count() == 1
 
 
+def engine_of(spark, embed=None):
+    """Documents that call two numbers [CPF_A], and one without any; d is boilerplate, e of another place."""
+    docs = spark.createDataFrame([(x, "Niteroi" if x != "e" else "Marica", "Portaria", "sigiloso", x) for x in "abcde"], "documento_id string, municipio string, tipo_documento string, nivel_restricao string, titulo string")
+    entities = spark.createDataFrame([(x, "CPF", "[CPF_A]", ("2" if x == "b" else "1") + "23.456.789-09") for x in "abde"], "documento_id string, categoria string, pseudonimo string, valor string")
+    texts = {"a": "servidora inscrita sob [CPF_A] nomeada", "b": "contrato firmado por [CPF_A] ontem", "c": "contrato firmado ontem na sede", "d": "formulario de [CPF_A]", "e": "outro lugar de [CPF_A]"}
+    chunks = spark.createDataFrame([(f"{9 - i}{x}", x, i, t, x == "d", [1.0, float(i)] if x != "b" else [-1.0, 0.0]) for i, (x, t) in enumerate(texts.items())], "chunk_id string, documento_id string, indice int, texto string, eh_padronizado boolean, embedding array<double>")
+    criteria = spark.createDataFrame(rules.CRITERIA, "criterio_id int, criterio_chave string, criterio_versao int, ativo boolean")
+    cache = spark.createDataFrame([], "chunk_id string, criterio_id int, criterio_versao int, atende boolean, score decimal(4,3), trecho_citado string, citacao_verificada boolean")
+    return engine.SearchEngine(docs, entities, chunks, criteria, cache, embed)
+
+
+def found(search, consulta, **options):
+    rows = search.search(engine.Request([], [1.0, 0.0], consulta, perfil="com_clearance", avaliar=False, municipio="Niteroi", **options)).resultados.collect()
+    return [r.documento_id for r in rows]
+
+
+@pytest.mark.parametrize("mode", ["lexico", "vetorial", "hibrido"])
+def test_search_for_a_masked_value(spark, mode):
+    search = engine_of(spark)
+    assert found(search, "quem e 223.456.789-09", modo=mode, limite=1) == ["b"]
+    assert found(search, "quem e 123.456.789-09", modo=mode, limite=1) == ["a"]
+    assert {"a", "b"} <= set(found(search, "quem e 223.456.789-09", modo=mode)) <= {"a", "b", "c"}
+
+
+def test_search_embeds_the_pseudonyms(spark):
+    asked = []
+    found(engine_of(spark, lambda text: asked.append(text) or [1.0, 0.0]), "quem e 223.456.789-09", modo="vetorial")
+    assert asked == ["quem e 223.456.789-09 [CPF_A]"]
+
+
+def test_search_grammar(spark):
+    search = engine_of(spark)
+    assert sorted(found(search, "contrato ontem", modo="lexico")) == ["b", "c"]
+    assert found(search, "contrato sede", modo="lexico") == ["c"] and found(search, "contrato -sede", modo="lexico") == ["b"]
+    assert found(search, '"por cpf"', modo="lexico") == ["b"] and found(search, '"ontem por"', modo="lexico") == []
+    assert sorted(found(search, "sede or nomeada", modo="lexico")) == ["a", "c"] and found(search, "-contrato", modo="lexico") == ["a"]
+
+
 def test_cases(spark):
     cases = spark.createDataFrame([(i, f"caso {i}") for i in range(10)], "id int, nome string")
     with pytest.raises(ValueError):
