@@ -6,6 +6,10 @@ letters most likely sent, by a character trigram model counted over all
 documents and by the costs of the channel (leetspeak, gaps, repetition). A
 sparse logistic model over the restored words then scores the text.
 
+Tokens and spelled runs over LONGEST characters are read too: drawn-out letters
+are shortened, glued words taken apart, and spelled-out sentences cut into words
+by the character model.
+
 The trigram table is bounded by the alphabet, not by the corpus. The classifier
 is fitted on a bounded, hash-ordered sample of labelled rows (``max_rows``).
 Labels, language, source and id never enter a score.
@@ -23,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,10 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòó
 EDGE = "^"
 STRIP = ".,;:!?\"()[]{}|#$%&*<>«»“”„-_~=/\\'’"
 FLOOR = 0.05
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?: (?:[^\W_]|[@$!|+])){3,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?: (?:[^\W_]|[@$!|+])){2,}(?!\S)")
+#: In what is longer than LONGEST: drawn-out signs, and the signs between its words.
+DRAWN = re.compile(r"(.)\1{3,}", re.S)
+GLUE = re.compile(r"(?:[^\w@$!|+(<€£]|_)+")
 REPEATS = re.compile(r"(\w)\1\1")
 MIXED = re.compile(r"[^\W\d_][-0-9@$!|+(<€£_.*~'’·^#]+[^\W\d_]|^[0-9@$!|+(<€£]{1,3}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$€£]{1,2}$")
 LONGEST = 40
@@ -103,6 +111,31 @@ def restore(token: str, model: CharModel) -> str:
     return min(((cost - model.logp(pair, EDGE), text) for pair, (cost, text) in states.items()), default=(0.0, token))[1]
 
 
+def segmented(letters: str, model: CharModel) -> list[str]:
+    """The words most likely sent as a spelled-out sentence without gaps: Viterbi with word ends, in linear time."""
+    # state: the last two letters -> (cost, chain of what was read; " " ends a word)
+    states: dict[str, tuple[float, tuple | None]] = {EDGE + EDGE: (0.0, None)}
+    for c in letters:
+        arcs = [(c, 0.0)] if c in ALPHABET else [(x, LEET_COST) for x in LEET.get(c, "")]
+        after: dict[str, tuple[float, tuple | None]] = {} if arcs else {p: (cost + LOST_COST, chain) for p, (cost, chain) in states.items()}
+        for pair, (cost, chain) in states.items():
+            starts = [(pair, cost, chain)]
+            if pair[1] != EDGE:
+                starts.append((EDGE + EDGE, cost - model.logp(pair, EDGE), (chain, " ")))
+            for before, so_far, read in starts:
+                for letter, extra in arcs:
+                    there, total = before[1] + letter, so_far + extra - model.logp(before, letter)
+                    if there not in after or total < after[there][0]:
+                        after[there] = (total, (read, letter))
+        states = dict(sorted(after.items(), key=lambda s: s[1][0])[:32])
+    chain = min(((cost - model.logp(pair, EDGE), chain) for pair, (cost, chain) in states.items()), key=lambda s: s[0])[1]
+    out = []
+    while chain is not None:
+        chain, sign = chain
+        out.append(sign)
+    return "".join(reversed(out)).split()
+
+
 def lattice_worthy(token: str) -> bool:
     return 3 <= len(token) <= LONGEST and (MIXED.search(token) is not None or REPEATS.search(token) is not None)
 
@@ -125,6 +158,39 @@ class Reader:
             return restore(core, self.model)
         return bare if len(bare) <= LONGEST and any(map(str.isalpha, bare)) else ""
 
+    def spelled(self, letters: str) -> list[str]:
+        """Words of a run of single letters."""
+        if len(letters) > LONGEST:
+            letters = DRAWN.sub(r"\1\1\1", letters)
+        return [restore(letters, self.model)] if len(letters) <= LONGEST else segmented(letters, self.model)
+
+    def long_words(self, token: str) -> list[str]:
+        """Words of a token over LONGEST characters."""
+        whole = self.word(token)
+        if whole:
+            return [whole]
+        token = DRAWN.sub(r"\1\1\1", token)
+        if len(token) <= LONGEST:
+            return [self.word(token)]
+        out: list[str] = []
+        for single, parts in groupby(filter(None, GLUE.split(token)), lambda p: len(p) == 1):
+            if single:
+                letters = "".join(parts)
+                out += self.spelled(letters) if len(letters) > 2 else list(letters)
+            else:
+                for part in parts:
+                    # Signs that may be letters part words only where the whole is too long for one.
+                    out += [self.word(part)] if len(part) <= LONGEST else [self.joined(p) for p in re.split(r"\W+", part)]
+        return out
+
+    def joined(self, part: str) -> str:
+        """One unbroken run of letters and digits of any length, restored piece by piece."""
+        if len(part) <= LONGEST:
+            return self.word(part)
+        if MIXED.search(part) is None and REPEATS.search(part) is None:
+            return part if any(map(str.isalpha, part)) else ""
+        return "".join(restore(part[i : i + LONGEST], self.model) for i in range(0, len(part), LONGEST))
+
     def words(self, text: str) -> set[str]:
         low = text.lower()
         memo, tokens = self.memo, set(low.split())
@@ -132,14 +198,15 @@ class Reader:
             memo.clear()
         out = set()
         for t in tokens:
+            if len(t) > LONGEST:
+                out.update(self.long_words(t))
+                continue
             w = memo.get(t)
             if w is None:
                 w = memo[t] = self.word(t)
             out.add(w)
         for m in SPACED.finditer(low):
-            joined = m[0].replace(" ", "")
-            if len(joined) <= LONGEST:
-                out.add(restore(joined, self.model))
+            out.update(self.spelled(m[0].replace(" ", "")))
         out.discard("")
         return out
 

@@ -370,6 +370,21 @@ def test_restoring():
     assert "idiot" in reader.words("you i d i o t here") and reader.words("") == set()
 
 
+def test_restoring_long_runs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    reader = toxicity.Reader(toxicity.CharModel({r.gram: r.n for r in toxicity.char_counts(docs).collect()}))
+    sentence = "you are such an idiot and the people of this town will not forget what was said here"
+    for sign in " .":  # the beginnings of a word are features too
+        spelled = reader.words(sign.join(sentence.replace(" ", "")))
+        assert {"people", "town"} <= spelled and any(w.startswith("idiot") for w in spelled)
+    for sign in ".-/":
+        assert {"idiot", "people", "forget"} <= reader.words(sign.join(sentence.split()))
+    assert reader.words("idi" + "o" * 60 + "t") == reader.words("idiooot") == {"idiot"}
+    assert reader.words("x " * 3000) <= {"x", "xx", "xxx"} and reader.words("7" * 90) == reader.words("777")
+    assert reader.words("c o w") == {"c", "o", "w", "cow"}
+    assert len(max(reader.words("ab" * 5000), key=len)) == 10000
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
