@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_BATCH = 1000
 ROOT = Path(__file__).resolve().parent.parent
 
+TEXTS = ("documents", "pages")
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -33,6 +35,11 @@ def get_session(app: str = "quillspark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def ship_code(spark: SparkSession) -> None:
     """Make this package importable in Python workers.
 
@@ -44,7 +51,7 @@ def ship_code(spark: SparkSession) -> None:
     # Rows here are whole texts or sets: the default of 10,000 a batch would be too much memory at once.
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    if sc.master == "local" or sc.master.startswith("local["):
+    if is_local(spark):
         paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
         if str(ROOT) not in paths:
             sc.environment["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, paths)])
@@ -62,11 +69,14 @@ def ship_code(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, notebooks) one is made on this machine.
+    Where a local session has none (tests, notebooks) one is made on this
+    machine; on a cluster a folder of one machine would lose data, so it raises.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(sc, "_quillspark_dir", None)
         if not folder:
             folder = sc._quillspark_dir = "file://" + tempfile.mkdtemp(prefix="quillspark-ckpt-")
@@ -87,5 +97,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the fixture tables, as Spark reads it (any file system)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the fixture tables, as Spark reads it (any file system).
+
+    Texts in fewer files than there are cores are dealt out to all of them, since
+    a file of one row group is read by one task.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and len(rows.inputFiles()) < min(cores, 4):
+        return rows.repartition(cores)
+    return rows
