@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -98,9 +99,26 @@ def person_like(name: Column) -> Column:
     return let(real, lambda r: (F.size(r) >= 2) & ~F.exists(r, lambda t: t.isin(rules.INSTITUTIONS)) & F.forall(r, lambda t: F.length(t) >= 2))
 
 
+def _plain_letters() -> tuple[str, str, list[tuple[str, str]]]:
+    """By decomposition: characters that become one ASCII character, those characters, and (character, its ASCII signs) of several."""
+    one, to, more = [], [], []
+    for c in map(chr, range(0x80, 0x10000)):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode().lower()
+        if len(plain) == 1:
+            one.append(c)
+            to.append(plain)
+        elif plain and unicodedata.category(c)[0] == "L" and c < "\ufb07":
+            more.append((c, plain))
+    return "".join(one), "".join(to), [m for m in more if m[0] < "\u0250" or m[0] > "\ufaff"]
+
+
 def slug(text: Column) -> Column:
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.replace(F.regexp_replace(plain, r"[^\x00-\x7F]", ""), F.lit(" "), F.lit("-"))
+    """Accents decomposed, what is not ASCII then dropped, lower case, spaces to hyphens."""
+    one, to, more = _plain_letters()
+    plain = F.translate(text, one, to)
+    for c, ascii_ in more:
+        plain = F.replace(plain, F.lit(c), F.lit(ascii_))
+    return F.replace(F.lower(F.regexp_replace(plain, r"[^\x00-\x7F]", "")), F.lit(" "), F.lit("-"))
 
 
 def citation_verified(text: Column, cited: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import rules
-from quillspark.functions.text import chunk_hash, form_like, good_page, header_key, let
+from quillspark.functions.text import chunk_hash, form_like, good_page, header_key, let, strip
 
 
 def extraction_cascade(pages: DataFrame, native: str = "native", ocr: str = "ocr", tables: str = "tables") -> DataFrame:
@@ -39,22 +39,32 @@ def main_method(pages: DataFrame, key: str) -> DataFrame:
     return pages.groupBy(key, "metodo").agg(F.count("*").alias("n")).groupBy(key).agg(F.max_by("metodo", F.struct("n", "metodo")).alias("metodo"))
 
 
-def repeated_edges(pages: DataFrame, key: str, page: str, text: str, depth: int = 2) -> DataFrame:
-    """(key, linha): header and footer keys on half of a document's pages, three at least."""
-    lines = F.filter(F.split(text, "\n", -1), lambda l: F.trim(l) != "")
-    edge = F.array_distinct(F.array_compact(F.transform(F.concat(F.slice(lines, 1, depth), F.slice(F.reverse(lines), 1, depth)), header_key)))
+def _edges(text: Column, depth: int) -> Column:
+    """array<struct<at, lado, linha>>: places and keys of the first and last non-blank lines of a page; no line is both."""
+    lines = F.transform(F.split(text, "\n", -1), lambda l, i: F.struct(i.alias("at"), header_key(l).alias("linha"), (strip(l) != "").alias("full")))
+    side = lambda some, name: F.transform(some, lambda l: F.struct(l["at"].alias("at"), F.lit(name).alias("lado"), l["linha"].alias("linha")))
+    return let(F.filter(lines, lambda l: l["full"]), lambda ls: F.concat(
+        side(F.slice(ls, 1, depth), "cabecalho"), side(F.slice(F.reverse(F.slice(ls, depth + 1, 1 << 30)), 1, depth), "rodape")))
+
+
+def repeated_edges(pages: DataFrame, key: str, page: str, text: str, depth: int = 1) -> DataFrame:
+    """(key, lado, linha): header keys (of first lines) and footer keys (of last ones) on half of a document's pages, three at least."""
+    edge = F.array_distinct(F.filter(F.transform(_edges(F.col(text), depth), lambda e: F.struct(e["lado"].alias("lado"), e["linha"].alias("linha"))), lambda e: e["linha"].isNotNull()))
     total = pages.groupBy(key).agg(F.count("*").alias("pages"))
-    seen = pages.select(key, F.explode(edge).alias("linha")).groupBy(key, "linha").agg(F.count("*").alias("n"))
+    seen = pages.select(key, F.explode(edge).alias("e")).groupBy(key, "e.lado", "e.linha").agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(3), F.bround(F.col("pages") * 0.5))
-    return seen.join(total, key).filter((F.col("pages") >= 3) & (F.col("n") >= least)).select(key, "linha", F.col("n").alias("paginas"))
+    return seen.join(total, key).filter((F.col("pages") >= 3) & (F.col("n") >= least)).select(key, "lado", "linha", F.col("n").alias("paginas"))
 
 
-def drop_repeated_edges(pages: DataFrame, edges: DataFrame, key: str, text: str) -> DataFrame:
-    """Pages without the lines that repeated_edges() found."""
-    found = edges.groupBy(key).agg(F.collect_set("linha").alias("__edges"))
+def drop_repeated_edges(pages: DataFrame, edges: DataFrame, key: str, text: str, depth: int = 1) -> DataFrame:
+    """Pages without the first and last lines that repeated_edges() found; other lines stay, whatever they say."""
+    found = edges.groupBy(key).agg(F.collect_set(F.struct("lado", "linha")).alias("__edges"))
     joined = pages.join(found, key, "left")
-    kept = F.filter(F.split(text, "\n", -1), lambda l: ~F.coalesce(F.array_contains("__edges", header_key(l)), F.lit(False)))
-    return joined.withColumn(text, F.array_join(kept, "\n")).drop("__edges")
+    known = lambda e: F.array_contains("__edges", F.struct(e["lado"].alias("lado"), e["linha"].alias("linha")))
+    doomed = F.transform(F.filter(_edges(F.col(text), depth), lambda e: e["linha"].isNotNull() & known(e)), lambda e: e["at"])
+    kept = let(doomed, lambda d: F.filter(F.split(text, "\n", -1), lambda l, i: ~F.array_contains(d, i)))
+    clean = strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    return joined.withColumn(text, F.when(F.col("__edges").isNull(), F.col(text)).otherwise(clean)).drop("__edges")
 
 
 def assemble(pages: Column) -> Column:
@@ -97,8 +107,8 @@ def pack(pieces: Column, separator: str, limit: int = rules.CHUNK_CHARS) -> Colu
     return F.aggregate(pieces, start, add, lambda acc: F.when(acc["open"], F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
 
 
-def chunks(text: Column, paragraph: str = r"\n{2,}", limit: int = rules.CHUNK_CHARS, least: int = rules.MIN_CHUNK_CHARS) -> Column:
-    """Paragraphs packed up to ``limit``; longer ones by sentence, else by word; short chunks dropped."""
+def packed(text: Column, paragraph: str = r"\n{2,}", limit: int = rules.CHUNK_CHARS) -> Column:
+    """Paragraphs packed up to ``limit``; longer ones by sentence, else by word."""
     joiner = "\n\n" if paragraph == r"\n{2,}" else "\n"
     paragraphs = F.filter(F.split(text, paragraph, -1), lambda p: p.rlike(r"(?U)\S"))
 
@@ -118,17 +128,39 @@ def chunks(text: Column, paragraph: str = r"\n{2,}", limit: int = rules.CHUNK_CH
             (~long).alias("open"),
         )
 
-    packed = F.aggregate(paragraphs, start, add, lambda acc: F.when(acc["open"], F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
-    return F.filter(packed, lambda c: F.length(F.trim(c)) >= least)
+    return F.aggregate(paragraphs, start, add, lambda acc: F.when(acc["open"], F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]))
+
+
+def chunks(text: Column, paragraph: str = r"\n{2,}", limit: int = rules.CHUNK_CHARS, least: int = rules.MIN_CHUNK_CHARS) -> Column:
+    """The packed texts of ``least`` characters or more."""
+    return F.filter(F.transform(packed(text, paragraph, limit), strip), lambda c: F.length(c) >= least)
+
+
+def located(pieces: Column, text: Column) -> Column:
+    """array<struct<texto, off>>: each piece where it is found behind the one before, or there if it is not."""
+    start = F.struct(F.lit(0).alias("cursor"), F.expr("cast(array() as array<struct<texto:string,off:int>>)").alias("out"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        at = F.call_function("locate", piece, text, acc["cursor"] + 1) - 1
+        return let(F.when(at >= 0, at).otherwise(acc["cursor"]), lambda off: F.struct(
+            (off + F.length(piece)).alias("cursor"), F.concat(acc["out"], F.array(F.struct(piece.alias("texto"), off.alias("off")))).alias("out")))
 
+    return F.aggregate(pieces, start, add, lambda acc: acc["out"])
 
-def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", paragraph: str = r"\n{2,}") -> DataFrame:
-    """(key, indice, texto, offset_inicio, offset_fim, pagina): chunks with their lineage."""
-    plain = docs.select(key, strip_markers(F.col(text)).alias("t"))
-    out = plain.select(key, "t", F.posexplode(chunks(F.col("t.texto"), paragraph)).alias("indice", "texto"))
-    begin = F.greatest(F.expr("instr(t.texto, texto)") - 1, F.lit(0))
-    out = out.withColumn("offset_inicio", begin)
-    return out.select(key, "indice", "texto", "offset_inicio", (F.col("offset_inicio") + F.length("texto")).alias("offset_fim"), page_at(F.col("t.paginas"), F.col("offset_inicio")).alias("pagina"))
+
+def chunk_table(docs: DataFrame, key: str = "doc_id", text: str = "text", paragraph: str = r"\n{2,}", methods: str | None = None, versions: dict[str, str] | None = None) -> DataFrame:
+    """(key, indice, texto, offset_inicio, offset_fim, pagina, metodo_extracao, metodo_extracao_versao): chunks with their lineage.
+
+    ``methods`` names a column map<pagina, metodo>; a method without a version is its own.
+    """
+    by_page = F.col(methods) if methods else F.lit(None).cast("map<int,string>")
+    plain = docs.select(key, by_page.alias("methods"), strip_markers(F.col(text)).alias("t"))
+    pieces = F.filter(F.transform(packed(F.col("t.texto"), paragraph), strip), lambda p: p != "")
+    long = F.filter(located(pieces, F.col("t.texto")), lambda c: F.length(c["texto"]) >= rules.MIN_CHUNK_CHARS)
+    out = plain.select(key, "methods", "t.paginas", F.posexplode(long).alias("indice", "c"))
+    out = out.select(key, "methods", "indice", "c.texto", F.col("c.off").alias("offset_inicio"), (F.col("c.off") + F.length("c.texto")).alias("offset_fim"), page_at(F.col("paginas"), F.col("c.off")).alias("pagina"))
+    version = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (versions or {}).items() for x in kv]), F.col("metodo_extracao")), F.col("metodo_extracao")) if versions else F.col("metodo_extracao")
+    return out.withColumn("metodo_extracao", F.coalesce(F.try_element_at("methods", F.col("pagina")), F.lit("nativo"))).withColumn("metodo_extracao_versao", version).drop("methods")
 
 
 def mark_boilerplate(chunked: DataFrame, key: str, text: str, least: int = rules.BOILERPLATE_DOCS) -> DataFrame:

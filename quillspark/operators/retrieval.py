@@ -111,7 +111,8 @@ def search(mode: str, docs: DataFrame, vectors: DataFrame, terms: list[str], que
 
 
 def merge_extra_hits(main: DataFrame, extra: DataFrame, key: str, k: int) -> DataFrame:
-    """Union of two scored lists; a row in both keeps its larger score."""
+    """Union of two scored lists; a row in both keeps its larger score. (An extra hit counts 1 or stands above all, so
+    the larger score is that of the lexical row, or of a row whose own document means the query.)"""
     return top_k(main.unionByName(extra).groupBy(key).agg(F.max("score").alias("score")), k, key)
 
 
@@ -138,3 +139,8 @@ def recall_precision(retrieved: DataFrame, relevant: DataFrame, keys: list[str])
     sizes = want.groupBy(keys[0]).agg(F.count("*").alias("wanted")).join(got.groupBy(keys[0]).agg(F.count("*").alias("shown")), keys[0], "left").join(hits, keys[0], "left")
     h = F.coalesce("hits", F.lit(0))
     return sizes.select(keys[0], (h / F.col("wanted")).alias("recall"), F.coalesce(h / F.nullif("shown", F.lit(0)), F.lit(0.0)).alias("precision"))
+
+
+def mode_report(measured: DataFrame, by: list[str]) -> DataFrame:
+    """Means of recall, precision and latency over questions, by mode, or by mode and kind of question."""
+    return measured.groupBy(*by).agg(F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("latencia").alias("latencia"), F.count("*").alias("perguntas"))

@@ -19,10 +19,14 @@ def already_there(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Last write wins by ``version``; one aggregate, so a hot key is combined before the shuffle."""
-    both = table.unionByName(rows)
-    rest = [c for c in both.columns if c not in keys]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(*keys, "r.*")
+    """Last write wins by ``version``, a null one being the oldest; of equal versions the incoming row, then the larger one.
+
+    One aggregate, so a hot key is combined before the shuffle.
+    """
+    both = table.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
+    rest = [c for c in table.columns if c not in keys]
+    order = F.struct(F.col(version), F.col("__new"), F.xxhash64(*[F.col(c).cast("string") for c in rest]))
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
 
 
 def delete(table: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFrame:

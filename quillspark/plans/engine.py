@@ -19,6 +19,7 @@ from quillspark.operators import evaluation as E
 from quillspark.operators import masking as M
 from quillspark.operators import retrieval as R
 from quillspark.operators import store as S
+from quillspark.session import materialise
 
 MOST_CASES = 10
 
@@ -52,13 +53,12 @@ class SearchEngine:
     ``embed`` makes the vector of a query text; without it the request's vector is used as it is.
     """
 
-    def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame, embed: Callable[[str], list[float]] | None = None):
-        self.embed = embed
+    def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame, embed: Callable[[str], list[float]] | None = None, judge: Callable[[DataFrame], DataFrame] = E.keyword_judge):
+        self.embed, self.judge = embed, judge
         self.documentos, self.entidades, self.chunks, self.criterios, self.avaliacoes = documentos, entidades, chunks, criterios, avaliacoes
 
     def filtros(self) -> tuple[DataFrame, DataFrame]:
-        distinct = lambda c: self.documentos.filter(F.col(c).isNotNull()).select(c).distinct().orderBy(c)
-        return distinct("municipio"), distinct("tipo_documento")
+        return filter_values(self.documentos, "municipio"), filter_values(self.documentos, "tipo_documento")
 
     def search(self, request: Request) -> Answer:
         """Retrieve, then drop what may not be seen, unmask if cleared, evaluate the masked text, re-rank."""
@@ -78,20 +78,22 @@ class SearchEngine:
         elif request.modo == "vetorial":
             hits = hits.withColumnRenamed("vec_id", "id")
         score = "rrf_score" if request.modo == "hibrido" else "score"
-        ranked = hits.select(F.col("id").alias("chunk_id"), F.col(score).alias("pontuacao"))
+        # A few rows, written once: answer, audit and evaluations do not search again, and the judge runs once.
+        ranked = materialise(hits.select(F.col("id").alias("chunk_id"), F.col(score).alias("pontuacao")), "ranked")
         rows = ranked.join(self.chunks.drop("embedding"), "chunk_id").join(self.documentos.select("documento_id", "municipio", "tipo_documento", "nivel_restricao", "titulo"), "documento_id")
         cleared = request.perfil == "com_clearance"
         rows = R.visible(rows, "nivel_restricao", cleared)
         fresh = None
         if request.avaliar:
-            found, fresh = E.evaluate(rows.select("chunk_id", "texto"), self.criterios, self.avaliacoes)
+            known, fresh = E.recall(rows.select("chunk_id", "texto"), self.criterios, self.avaliacoes, self.judge)
+            fresh = materialise(fresh, "evaluations")
+            found = known.unionByName(fresh)
             rows = E.attach(rows, found, self.criterios)
         else:
             rows = rows.withColumn("avaliacoes", F.expr("cast(array() as array<struct<criterio_id:int,chave:string,atende:boolean,score:decimal(4,3)>>)"))
         audit = None
         if cleared:
-            lists = self.entidades.groupBy("documento_id").agg(F.collect_list(F.struct("pseudonimo", "valor")).alias("__e"))
-            rows = rows.join(lists, "documento_id", "left").withColumn("texto", F.when(F.col("__e").isNotNull(), M.unmask(F.col("texto"), F.col("__e"))).otherwise(F.col("texto"))).drop("__e")
+            rows = self._unmasked(rows)
             audit = M.audit_rows(rows.select("documento_id", "chunk_id"), self.entidades, "documento_id", request.perfil)
         best = F.coalesce(F.array_max(F.transform("avaliacoes", lambda e: e["score"])), F.lit(0).cast("decimal(4,3)"))
         rows = rows.withColumns({"score_criterios": best, "resumo": T.summary_line(F.col("texto"))})
@@ -108,14 +110,24 @@ class SearchEngine:
         found = pool.filter(holds).join(own, "documento_id", "left")
         return pseudonyms, found.select(F.col("chunk_id").alias("id"), F.coalesce(F.exists("__own", lambda p: F.contains("texto", p)), F.lit(False)).alias("own"))
 
-    def documento_completo(self, documento_id: str, perfil: str) -> tuple[str, DataFrame | None]:
-        """("ok", text) or ("proibido"/"ausente", None)."""
+    def documento_completo(self, documento_id: str, perfil: str) -> tuple[str, DataFrame | None, DataFrame | None]:
+        """("ok", text, audit rows) or ("proibido"/"ausente", None, None); who is cleared sees the real values."""
         row = self.documentos.filter(F.col("documento_id") == documento_id).select("nivel_restricao").first()
         if row is None:
-            return "ausente", None
+            return "ausente", None, None
         if row[0] == "sigiloso" and perfil != "com_clearance":
-            return "proibido", None
-        return "ok", D.whole_text(self.chunks.filter(F.col("documento_id") == documento_id), "documento_id", "indice", "texto")
+            return "proibido", None, None
+        mine = F.col("documento_id") == documento_id
+        parts = self.chunks.filter(mine)
+        text = D.whole_text(parts, "documento_id", "indice", "texto").join(parts.groupBy("documento_id").agg(F.count("*").alias("num_chunks")), "documento_id")
+        if perfil != "com_clearance":
+            return "ok", text, None
+        known = self.entidades.filter(mine)
+        return "ok", self._unmasked(text), M.audit_rows(self.documentos.filter(mine).select("documento_id"), known, "documento_id", perfil)
+
+    def _unmasked(self, rows: DataFrame) -> DataFrame:
+        lists = self.entidades.groupBy("documento_id").agg(F.array_sort(F.collect_list(F.struct("pseudonimo", "valor"))).alias("__e"))
+        return rows.join(lists, "documento_id", "left").withColumn("texto", F.when(F.col("__e").isNotNull(), M.unmask(F.col("texto"), F.col("__e"))).otherwise(F.col("texto"))).drop("__e")
 
     def padronizados(self) -> DataFrame:
         flags = F.count_if("eh_padronizado")
@@ -141,3 +153,64 @@ def judge_relevance(avaliacoes: DataFrame, row: DataFrame) -> DataFrame:
     """Thumbs: the last one per case and chunk holds; null removes it."""
     keys = ["caso_id", "chunk_id"]
     return S.upsert(avaliacoes, row, keys, "criado_em").filter("relevante IS NOT NULL")
+
+
+def list_cases(casos: DataFrame) -> DataFrame:
+    return casos.orderBy("criado_em", "id")
+
+
+def add_item(itens: DataFrame, row: DataFrame) -> tuple[bool, DataFrame]:
+    """(whether the case already had the chunk, table)."""
+    keys = ["caso_id", "chunk_id"]
+    return not S.already_there(itens, row, keys).isEmpty(), S.insert_if_absent(itens, row, keys, [F.col("criado_em")])
+
+
+def remove_item(itens: DataFrame, caso_id: int, chunk_id: str) -> DataFrame:
+    return itens.filter(~F.coalesce((F.col("caso_id") == caso_id) & (F.col("chunk_id") == chunk_id), F.lit(False)))
+
+
+def annotate_item(itens: DataFrame, caso_id: int, chunk_id: str, nota: str | None) -> tuple[int, DataFrame]:
+    """(affected rows, table); none means that the case has no such item."""
+    hit = (F.col("caso_id") == caso_id) & (F.col("chunk_id") == chunk_id)
+    return itens.filter(hit).count(), S.update(itens, hit, {"nota": F.lit(nota).cast("string")})
+
+
+def list_judgements(avaliacoes: DataFrame, caso_id: int) -> DataFrame:
+    return avaliacoes.filter(F.col("caso_id") == caso_id).select("chunk_id", "relevante")
+
+
+def listing(rows: DataFrame, search: list[str], date: str, key: str, q: str | None = None, kind: str | None = None, kind_column: str = "tipo_documento", limit: int = 200) -> DataFrame:
+    """The newest rows, undated ones last, that have ``q`` in one of the ``search`` columns and are of a ``kind``."""
+    if q:
+        rows = rows.filter(reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{q}%") for c in search]))
+    rows = R.prefilter(rows, {kind_column: kind})
+    return rows.orderBy(F.desc_nulls_last(date), key).limit(limit)
+
+
+def acervo(documentos: DataFrame, quarentena: DataFrame, q: str | None = None, tipo: str | None = None, limite: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(processed, unprocessed): the newest documents that match, and the newest files in quarantine."""
+    done = listing(documentos, ["arquivo_local", "municipio"], "data", "documento_id", q, tipo, limit=limite).withColumn("status", F.lit("Processado"))
+    newest = [F.desc_nulls_last("criado_em")] if "criado_em" in quarentena.columns else []
+    return done, quarentena.orderBy(*newest, "arquivo_local").limit(limite)
+
+
+def give_feedback(feedback: DataFrame, row: DataFrame) -> DataFrame:
+    return feedback.unionByName(row)
+
+
+def approval_stats(feedback: DataFrame, keyed: DataFrame, on: str, key: str, useful: str) -> DataFrame:
+    """(key, aprovados, total) by key, every version of a criterion pooled."""
+    return feedback.join(keyed.select(on, key).distinct(), on).groupBy(key).agg(F.count_if(F.col(useful)).alias("aprovados"), F.count("*").alias("total")).orderBy(key)
+
+
+def quarantine_stats(documentos_ok: DataFrame, quarentena: DataFrame) -> DataFrame:
+    """(tipo_erro, total, total_ok, total_quarentena, percentual): one row per class of error, the most frequent first."""
+    by_kind = quarentena.groupBy("tipo_erro").agg(F.count("*").alias("total"))
+    sums = documentos_ok.agg(F.count("*").alias("total_ok")).join(by_kind.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total_quarentena")))  # one row each
+    share = F.coalesce(100.0 * F.col("total_quarentena") / F.nullif(F.col("total_ok") + F.col("total_quarentena"), F.lit(0)), F.lit(0.0))
+    return by_kind.join(F.broadcast(sums)).withColumn("percentual", share).orderBy(F.desc("total"), "tipo_erro")
+
+
+def filter_values(rows: DataFrame, column: str) -> DataFrame:
+    """The values that a filter offers, sorted."""
+    return rows.filter(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

@@ -21,8 +21,8 @@ class Ingested:
     quarentena: DataFrame
 
 
-def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None = None) -> Ingested:
-    """``pages``: arquivo_local, pagina, native, ocr, tables. ``manifest``: one row per file.
+def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None = None, versions: dict[str, str] | None = None) -> Ingested:
+    """``pages``: arquivo_local, pagina, native, ocr, tables. ``manifest``: one row per file. ``versions``: by extraction method.
 
     Quarantined files stop at the classifier; contents already known (or met
     twice in this run) are skipped; the whole corpus, not one run, decides what
@@ -34,9 +34,9 @@ def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None
     good = read.join(fate.filter("tipo_erro IS NULL").select("arquivo_local"), "arquivo_local", "left_semi")
     clean = good.withColumn("texto", T.normalise_page(F.col("texto")))
     clean = D.drop_repeated_edges(clean, D.repeated_edges(clean, "arquivo_local", "pagina", "texto"), "arquivo_local", "texto")
-    whole = clean.groupBy("arquivo_local").agg(F.collect_list(F.struct("pagina", "texto")).alias("paginas"), F.count("*").alias("num_paginas"))
+    whole = clean.groupBy("arquivo_local").agg(F.collect_list(F.struct("pagina", "texto")).alias("paginas"), F.map_from_entries(F.collect_set(F.struct(F.col("pagina").cast("int"), "metodo"))).alias("metodos"), F.count("*").alias("num_paginas"))
     whole = whole.withColumn("text", D.assemble(F.col("paginas"))).withColumn("hash_sha256", F.sha2("text", 256))
-    whole = whole.groupBy("hash_sha256").agg(F.min_by(F.struct("arquivo_local", "num_paginas", "text"), "arquivo_local").alias("d")).select("hash_sha256", "d.*")
+    whole = whole.groupBy("hash_sha256").agg(F.min_by(F.struct("arquivo_local", "num_paginas", "metodos", "text"), "arquivo_local").alias("d")).select("hash_sha256", "d.*")
     if known_hashes is not None:
         whole = whole.join(known_hashes.select("hash_sha256"), "hash_sha256", "left_anti")
     masked = M.mask(whole).join(D.main_method(good, "arquivo_local"), "arquivo_local").join(manifest, "arquivo_local", "left")
@@ -45,7 +45,7 @@ def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None
         "nivel_restricao": M.restriction_level(F.col("entities")),
     })
     docs = docs.withColumn("titulo", T.readable_name(F.col("municipio"), F.col("tipo_documento"), F.to_date("data")))
-    chunks = D.chunk_table(docs, "documento_id", "masked")
+    chunks = D.chunk_table(docs, "documento_id", "masked", methods="metodos", versions=versions)
     chunks = D.mark_boilerplate(S.with_key(chunks, "chunk_id", "documento_id", "indice"), "documento_id", "texto")
     entities = docs.select("documento_id", F.explode("entities").alias("e")).select("documento_id", "e.*")
     kept = ["documento_id", "arquivo_local", "hash_sha256", "num_paginas", "municipio", "data", "metodo", "tipo_documento", "nivel_restricao", "titulo"]
