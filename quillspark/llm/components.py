@@ -3,7 +3,9 @@
 Links are first contracted inside each partition to a spanning forest, then
 alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014) turn every component into a star
-around its smallest id.
+around its smallest id. A node may have any number of neighbours: what meets
+at a node is dealt by (node, salt), and the least neighbour is found by salt
+first.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from quillspark.session import materialise, ship_code
 
 EDGES = "a long, b long"
+SALTS = 32
 
 
 def find(parent: dict[int, int], x: int) -> int:
@@ -43,6 +46,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b, m): every edge with the least neighbour of ``a``."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    least = part.groupBy("a").agg(F.min("low").alias("m"))
+    return salted.join(part.join(least, "a").select("a", "salt", "m"), ["a", "salt"]).select("a", "b", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b); component is the smallest id reachable."""
     ship_code(links.sparkSession)
@@ -51,10 +62,7 @@ def components(links: DataFrame) -> DataFrame:
     while (now := _state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        edges = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a")
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+        small = _with_least(large)
         edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
