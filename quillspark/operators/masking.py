@@ -41,12 +41,35 @@ def mask_names(text: Column) -> Column:
     return let(matches(text, rules.UPPER_NAME), lambda ms: F.when(F.size(ms) == 0, text).otherwise(build(ms)))
 
 
-def mask(docs: DataFrame, text: str = "text", categories: list[tuple] = rules.CATEGORIES, names: bool = True) -> DataFrame:
-    """``docs`` with ``masked`` text and its ``entities``; categories in order, each over the text left by the one before."""
+def mask_tagged(text: Column, found: Column, tagged: Column) -> Column:
+    """struct<text, entities>: names that a tagger gave become further [PESSOA_X], numbered on from those in ``found``.
+
+    Longer names go first, so that one inside another does not break it.
+    """
+    real = F.filter(F.array_distinct(F.coalesce(tagged, F.array().cast("array<string>"))), lambda n: (F.trim(n) != "") & ~n.rlike(rules.PLACEHOLDER))
+    order = F.transform(F.array_sort(F.transform(real, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), lambda s: s["n"])
+    start = F.struct(text.alias("text"), found.alias("entities"))
+
+    def add(acc: Column, name: Column) -> Column:
+        mark = F.concat(F.lit("[PESSOA_"), letters(F.size(F.filter(acc["entities"], lambda e: e["categoria"] == "PESSOA"))), F.lit("]"))
+        one = F.struct(F.lit("PESSOA").alias("categoria"), mark.alias("pseudonimo"), name.alias("valor"))
+        hit = F.contains(acc["text"], name)
+        return F.struct(F.when(hit, F.replace(acc["text"], name, mark)).otherwise(acc["text"]).alias("text"), F.when(hit, F.concat(acc["entities"], F.array(one))).otherwise(acc["entities"]).alias("entities"))
+
+    return F.aggregate(order, start, add)
+
+
+def mask(docs: DataFrame, text: str = "text", categories: list[tuple] = rules.CATEGORIES, names: bool = True, tagged: str | None = None) -> DataFrame:
+    """``docs`` with ``masked`` text and its ``entities``; categories in order, each over the text left by the one before.
+
+    ``tagged`` names a column of names that an entity tagger found.
+    """
     out = docs.withColumn("masked", F.col(text)).withColumn("entities", F.expr("cast(array() as array<struct<categoria:string,pseudonimo:string,valor:string>>)"))
     if names:
         people = let(F.array_distinct(F.filter(matches(F.col("masked"), rules.UPPER_NAME), person_like)), lambda vals: F.transform(vals, lambda v, i: F.struct(F.lit("PESSOA").alias("categoria"), F.concat(F.lit("[PESSOA_"), letters(i), F.lit("]")).alias("pseudonimo"), v.alias("valor"))))
         out = out.withColumn("entities", people).withColumn("masked", mask_names(F.col("masked")))
+    if tagged:
+        out = out.withColumn("__t", mask_tagged(F.col("masked"), F.col("entities"), F.col(tagged))).withColumns({"masked": F.col("__t.text"), "entities": F.col("__t.entities")}).drop("__t")
     for name, pattern, *_ in categories:
         out = out.withColumn("entities", F.concat("entities", entities(F.col("masked"), name, pattern))).withColumn("masked", mask_category(F.col("masked"), name, pattern))
     return out

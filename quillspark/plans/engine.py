@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
+from quillspark.operators import embedding as V
 from quillspark.operators import evaluation as E
 from quillspark.operators import masking as M
 from quillspark.operators import retrieval as R
@@ -50,7 +51,8 @@ class Answer:
 class SearchEngine:
     """Tables: documentos, entidades, chunks (chunk_id, documento_id, texto, eh_padronizado, embedding), criterios, avaliacoes.
 
-    ``embed`` makes the vector of a query text; without it the request's vector is used as it is.
+    ``embed`` makes the vector of a query text; without it the request's vector is used as it is, and for a request
+    without one the text is hashed as ``operators.embedding`` hashes chunks.
     """
 
     def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame, embed: Callable[[str], list[float]] | None = None, judge: Callable[[DataFrame], DataFrame] = E.keyword_judge):
@@ -69,8 +71,9 @@ class SearchEngine:
         if request.consulta.strip():
             terms, test = T.query_terms(request.consulta), T.parse_query(request.consulta)
             pseudonyms, named = self._named(request.consulta, pool)
-            if self.embed is not None:
-                vector = self.embed(" ".join([request.consulta, *pseudonyms]))
+            embed = self.embed if self.embed is not None or request.vector else self._hashed
+            if embed is not None:
+                vector = embed(" ".join([request.consulta, *pseudonyms]))
         # A vector of the enriched text leads to the pseudonyms by itself; one that came with the request cannot.
         hits = R.search(request.modo, docs, vectors, terms, vector, request.limite, test, named, named if self.embed is None else None)
         if request.modo == "lexico":
@@ -99,6 +102,10 @@ class SearchEngine:
         rows = rows.withColumns({"score_criterios": best, "resumo": T.summary_line(F.col("texto"))})
         return Answer(rows.orderBy(F.desc("score_criterios"), F.desc("pontuacao"), "chunk_id"), audit, fresh)
 
+    @staticmethod
+    def _hashed(consulta: str) -> list[float]:
+        return V.hashed([consulta])[0].tolist()
+
     def _named(self, consulta: str, pool: DataFrame) -> tuple[list[str], DataFrame | None]:
         """Pseudonyms of what the query names, and (id, own) of the chunks of ``pool`` that hold one."""
         meant = M.resolve(consulta, self.entidades).select("valor", "pseudonimo")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,9 @@ from quillspark.operators import documents as D
 from quillspark.operators import masking as M
 from quillspark.operators import store as S
 
+#: Characters of a document that a describing model sees.
+DESCRIBED_CHARS = 3000
+
 
 @dataclass
 class Ingested:
@@ -21,9 +25,12 @@ class Ingested:
     quarentena: DataFrame
 
 
-def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None = None, versions: dict[str, str] | None = None) -> Ingested:
+def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None = None, versions: dict[str, str] | None = None, tagger: Callable[[DataFrame], DataFrame] | None = None, describe: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """``pages``: arquivo_local, pagina, native, ocr, tables. ``manifest``: one row per file. ``versions``: by extraction method.
 
+    ``tagger`` adds a column ``nomes`` of names to (hash_sha256, text); ``describe`` adds ``titulo`` and ``sintese`` to
+    (documento_id, inicio), the masked beginning of each document; a missing title becomes the readable name.
+
     Quarantined files stop at the classifier; contents already known (or met
     twice in this run) are skipped; the whole corpus, not one run, decides what
     is boilerplate when ``chunks`` of all runs go through mark_boilerplate().
@@ -39,16 +46,23 @@ def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None
     whole = whole.groupBy("hash_sha256").agg(F.min_by(F.struct("arquivo_local", "num_paginas", "metodos", "text"), "arquivo_local").alias("d")).select("hash_sha256", "d.*")
     if known_hashes is not None:
         whole = whole.join(known_hashes.select("hash_sha256"), "hash_sha256", "left_anti")
-    masked = M.mask(whole).join(D.main_method(good, "arquivo_local"), "arquivo_local").join(manifest, "arquivo_local", "left")
+    if tagger is not None:
+        whole = whole.join(tagger(whole.select("hash_sha256", "text")).select("hash_sha256", "nomes"), "hash_sha256", "left")
+    masked = M.mask(whole, tagged="nomes" if tagger is not None else None).join(D.main_method(good, "arquivo_local"), "arquivo_local").join(manifest, "arquivo_local", "left")
     docs = S.with_key(masked, "documento_id", "hash_sha256").withColumns({
         "tipo_documento": T.act_type(F.col("masked")),
         "nivel_restricao": M.restriction_level(F.col("entities")),
     })
-    docs = docs.withColumn("titulo", T.readable_name(F.col("municipio"), F.col("tipo_documento"), F.to_date("data")))
+    readable = T.readable_name(F.col("municipio"), F.col("tipo_documento"), F.to_date("data"))
+    if describe is None:
+        docs = docs.withColumns({"titulo": readable, "sintese": F.lit(None).cast("string")})
+    else:
+        told = describe(docs.select("documento_id", F.substring("masked", 1, DESCRIBED_CHARS).alias("inicio"))).select("documento_id", F.col("titulo").alias("__titulo"), "sintese")
+        docs = docs.join(told, "documento_id", "left").withColumn("titulo", F.coalesce(F.nullif(T.strip(F.col("__titulo")), F.lit("")), readable)).drop("__titulo")
     chunks = D.chunk_table(docs, "documento_id", "masked", methods="metodos", versions=versions)
     chunks = D.mark_boilerplate(S.with_key(chunks, "chunk_id", "documento_id", "indice"), "documento_id", "texto")
     entities = docs.select("documento_id", F.explode("entities").alias("e")).select("documento_id", "e.*")
-    kept = ["documento_id", "arquivo_local", "hash_sha256", "num_paginas", "municipio", "data", "metodo", "tipo_documento", "nivel_restricao", "titulo"]
+    kept = ["documento_id", "arquivo_local", "hash_sha256", "num_paginas", "municipio", "data", "metodo", "tipo_documento", "nivel_restricao", "titulo", "sintese"]
     return Ingested(docs.select(*kept), entities, chunks, bad)
 
 

@@ -18,6 +18,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, in as many files as there are partitions."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, content, sha256) of binary files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))

@@ -121,3 +121,70 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def plain_chunks(text, least=80, limit=2000):
+    """Paragraphs of one line, packed, located one behind the other, written out plainly."""
+    import re
+
+    def pack(pieces, gap):
+        done, cur = [], None
+        for p in pieces:
+            if cur is not None and len(cur) + len(gap) + len(p) + len(gap) > limit:
+                done.append(cur)
+                cur = p
+            else:
+                cur = p if cur is None else cur + gap + p
+        return done + ([cur] if cur is not None else [])
+
+    groups, run = [], []
+    for p in [p for p in text.split("\n") if p.strip()]:
+        if len(p) > limit:
+            groups += pack(run, "\n")
+            run = []
+            sentences = re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-Ú0-9\[])", p)
+            groups += pack(sentences if len(sentences) > 1 else re.split(r"\s+", p), " ")
+        else:
+            run.append(p)
+    groups += pack(run, "\n")
+    out, cursor = [], 0
+    for g in (g.strip() for g in groups):
+        at = text.find(g, cursor)
+        at = cursor if at < 0 else at
+        cursor = at + len(g)
+        if g and len(g) >= least:
+            out.append((g, at))
+    return out
+
+
+def test_chunk_query_against_plain_code(spark):
+    from quillspark.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {}
+    for r in catalogue.QUERIES["greedy_chunks"](spark, sf).orderBy("doc_id", "indice").collect():
+        assert r.offset_fim == r.offset_inicio + len(r.texto) and r.pagina == 1
+        got.setdefault(r.doc_id, []).append((r.texto, r.offset_inicio))
+    assert got == {i: c for i, t in texts.items() if (c := plain_chunks(t))}
+
+
+def test_repeated_chunks_have_their_own_offsets(spark):
+    a, b = "a" * 1990, "b" * 1000
+    text = f"<<PAGINA:1>>{a}\n\n{b}\n\n<<PAGINA:2>>x{'c' * 1500}\n\n<<PAGINA:3>>{a}"
+    rows = D.chunk_table(spark.createDataFrame([(1, text, {1: "nativo", 3: "ocr"})], "doc_id int, text string, m map<int,string>"), methods="m", versions={"ocr": "ocr-5"}).orderBy("indice").collect()
+    assert [(r.offset_inicio, r.pagina, r.metodo_extracao, r.metodo_extracao_versao) for r in rows] == [(0, 1, "nativo", "nativo"), (1992, 1, "nativo", "nativo"), (2994, 2, "nativo", "nativo"), (4497, 3, "ocr", "ocr-5")]
+
+
+def test_headers_leave_the_body_alone(spark):
+    """A body line that equals the header, or the last line that equals it, stays; pages of one line have no footer."""
+    pages = spark.createDataFrame([(1, p, f"Diario Oficial\ncorpo {p}\nDiario Oficial\nfim {p}") for p in range(1, 4)] + [(1, 4, "Diario Oficial")], "d int, p int, texto string")
+    edges = D.repeated_edges(pages, "d", "p", "texto")
+    assert {(r.lado, r.linha, r.paginas) for r in edges.collect()} == {("cabecalho", "diario oficial", 4)}
+    assert {r.p: r.texto for r in D.drop_repeated_edges(pages, edges, "d", "texto").collect()} == {**{p: f"corpo {p}\nDiario Oficial\nfim {p}" for p in range(1, 4)}, 4: ""}
+
+
+def test_upsert_of_null_versions(spark):
+    table = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, v string, ts int")
+    new = spark.createDataFrame([(1, "c", None), (2, "d", None), (3, "e", None)], "k int, v string, ts int")
+    assert sorted((r.k, r.v) for r in S.upsert(table, new, ["k"], "ts").collect()) == [(1, "c"), (2, "b"), (3, "e")]

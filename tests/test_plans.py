@@ -93,3 +93,71 @@ def test_cases(spark):
     thumbs = spark.createDataFrame([(1, "x", True, 1), (1, "y", True, 1)], "caso_id int, chunk_id string, relevante boolean, criado_em int")
     new = spark.createDataFrame([(1, "x", None, 2)], thumbs.schema)
     assert [r.chunk_id for r in engine.judge_relevance(thumbs, new).collect()] == ["y"]
+
+
+def test_whole_document_is_unmasked_and_audited(spark):
+    search = engine_of(spark)
+    status, text, audit = search.documento_completo("b", "com_clearance")
+    assert status == "ok" and [(r.texto, r.num_chunks) for r in text.collect()] == [("contrato firmado por 223.456.789-09 ontem", 1)]
+    assert [(r.documento_id, r.pseudonimo) for r in audit.collect()] == [("b", "[CPF_A]")]
+
+
+def test_judge_runs_once(spark, tmp_path):
+    """The evaluations to store are those that were shown, and the judge is not asked again for them."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def judge(misses):
+        def body(parts):
+            for part in parts:
+                calls.add(len(part))
+                yield part.assign(atende=True, score=0.5, justificativa="", trecho_citado="")
+
+        return misses.mapInPandas(body, "chunk_id string, texto string, criterio_id int, criterio_chave string, criterio_versao int, atende boolean, score double, justificativa string, trecho_citado string")
+
+    search = engine_of(spark)
+    search.judge = judge
+    answer = search.search(engine.Request([], [1.0, 0.0], "contrato", modo="lexico", perfil="com_clearance"))
+    shown, fresh = answer.resultados.collect(), answer.novas_avaliacoes.collect()
+    assert len(shown) == 2 and len(fresh) == 8 and calls.value == 8
+
+
+def test_hashed_vectors_lead_to_the_text(spark):
+    from quillspark.operators import embedding
+
+    search = engine_of(spark)
+    search.chunks = embedding.with_embedding(search.chunks.drop("embedding"), "texto")
+    rows = search.search(engine.Request([], [], "contrato firmado ontem na sede", modo="vetorial", limite=1, perfil="com_clearance", avaliar=False)).resultados.collect()
+    assert [r.documento_id for r in rows] == ["c"]
+    one, two = embedding.hashed(["a b b", ""])
+    assert abs((one * one).sum() - 1) < 1e-9 and not two.any()
+
+
+def test_hooks_of_ingestion(spark):
+    body = "Portaria que nomeia Maria Souza para o cargo, e Maria Souza Lima como suplente, com efeitos a partir de hoje. " * 4
+    pages = spark.createDataFrame([("a.pdf", 1, body, "", []), ("b.pdf", 1, body.replace("hoje", "amanha"), "", [])], "arquivo_local string, pagina int, native string, ocr string, tables array<string>")
+    manifest = spark.createDataFrame([(f"{x}.pdf", "Niteroi", "2026-07-18") for x in "ab"], "arquivo_local string, municipio string, data string")
+    tagger = lambda rows: rows.withColumn("nomes", F.array(F.lit("Maria Souza"), F.lit("Maria Souza Lima"), F.lit("Ninguem")))
+    describe = lambda rows: rows.select("documento_id", F.when(F.contains("inicio", F.lit("hoje")), "Nomeacao").otherwise(" ").alias("titulo"), F.lit("s").alias("sintese"))
+    made = ingest.ingest(pages, manifest, tagger=tagger, describe=describe, versions={"nativo": "nativo-2"})
+    assert {r.titulo for r in made.documentos.collect()} == {"Nomeacao", "Niteroi · Portaria · 18/07/2026"}
+    chunks = made.chunks.collect()
+    assert all("Maria" not in r.texto and r.metodo_extracao_versao == "nativo-2" for r in chunks)
+    assert {(r.pseudonimo, r.valor) for r in made.entidades.collect()} == {("[PESSOA_A]", "Maria Souza Lima"), ("[PESSOA_B]", "Maria Souza")}
+
+
+def test_dossier_and_listings(spark):
+    items = spark.createDataFrame([(1, "x", None, 1), (1, "y", None, 2), (2, "x", None, 3)], "caso_id int, chunk_id string, nota string, criado_em int")
+    row = spark.createDataFrame([(1, "x", None, 9)], items.schema)
+    there, same = engine.add_item(items, row)
+    assert there and same.count() == 3
+    new, more = engine.add_item(items, spark.createDataFrame([(2, "y", None, 9)], items.schema))
+    assert not new and more.count() == 4
+    assert {(r.caso_id, r.chunk_id) for r in engine.remove_item(items, 1, "x").collect()} == {(1, "y"), (2, "x")}
+    hit, noted = engine.annotate_item(items, 1, "y", "lido")
+    assert hit == 1 and [r.chunk_id for r in noted.filter("nota = 'lido'").collect()] == ["y"] and engine.annotate_item(items, 9, "y", "")[0] == 0
+    docs = spark.createDataFrame([("d1", "a.pdf", "Niteroi", "Portaria", "2026-01-02"), ("d2", "b.pdf", "Marica", "Edital", None), ("d3", "c.pdf", "Niteroi", "Edital", "2026-01-03")], "documento_id string, arquivo_local string, municipio string, tipo_documento string, data string")
+    held = spark.createDataFrame([("x.pdf", "texto_vazio"), ("y.pdf", "texto_vazio"), ("z.pdf", "outro")], "arquivo_local string, tipo_erro string")
+    done, undone = engine.acervo(docs, held)
+    assert [r.documento_id for r in done.collect()] == ["d3", "d1", "d2"] and undone.count() == 3
+    assert [r.documento_id for r in engine.acervo(docs, held, q="NITE", tipo="Edital")[0].collect()] == ["d3"]
+    assert [(r.tipo_erro, r.total, r.total_ok, r.percentual) for r in engine.quarantine_stats(docs, held).collect()] == [("texto_vazio", 2, 3, 50.0), ("outro", 1, 3, 50.0)]

