@@ -198,3 +198,12 @@ def column_lines(words: DataFrame, key: str) -> DataFrame:
     new = F.coalesce((F.abs(F.col("top") - F.lag("top").over(order)) > tolerance).cast("int"), F.lit(1))
     lined = words.withColumn("__new", new).withColumn("linha", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return lined.groupBy(key, "linha").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("texto"))
+
+
+def column_text(words: DataFrame, key: str, width: str = "largura") -> DataFrame:
+    """(key, colunas, texto): words put back into lines, the left column before the right one where a page has two."""
+    cut = column_gap(words, key, width)
+    placed = words.join(cut, key, "left").withColumn("coluna", F.coalesce(((F.col("x0") + F.col("x1")) / 2 > F.col("corte")).cast("int"), F.lit(0)))
+    lines = column_lines(placed.withColumn("__page", F.struct(key, "coluna")), "__page").select(f"__page.{key}", "__page.coluna", "linha", "texto")
+    ordered = F.array_sort(F.collect_list(F.struct("coluna", "linha", "texto")))
+    return lines.groupBy(key).agg((F.max("coluna") + 1).alias("colunas"), F.array_join(F.transform(ordered, lambda l: l["texto"]), "\n").alias("texto"))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import rules
 from quillspark.functions.text import tokens
+from quillspark.session import materialise
 
 
 def prefilter(rows: DataFrame, equals: dict[str, str | None] | None = None, flag: str | None = None, include_flagged: bool = False) -> DataFrame:
@@ -30,14 +31,15 @@ def _count_of(term: str) -> Column:
 
 
 def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, all_terms: bool = False, test: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(key, score) of documents with any (or all) of ``terms``, or that pass ``test`` of (tokens, lower-cased text); one pass, sums only are shared.
+    """(key, score) of documents with any (or all) of ``terms``, or that pass ``test`` of (tokens, lower-cased text); one pass over the texts, sums only are shared.
 
     Term counts are columns, so nothing is exploded; document frequencies and
     the mean length are one aggregate joined back as a single row.
     """
     words = docs.select(key, tokens(F.col(text)).alias("w"), *([] if test is None else [F.lower(F.coalesce(F.col(text), F.lit(""))).alias("l")]))
     passed = [] if test is None else [test(F.col("w"), F.col("l")).alias("passed")]
-    counted = words.select(key, F.size("w").alias("dl"), *passed, *[_count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # A few numbers a document, written once: statistics and scores do not cut the texts into words again.
+    counted = materialise(words.select(key, F.size("w").alias("dl"), *passed, *[_count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)]), "term-counts")
     stats = counted.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
     matched = counted.filter(reduce((lambda x, y: x & y) if all_terms else (lambda x, y: x | y), hit) if test is None else F.col("passed"))
@@ -144,3 +146,9 @@ def recall_precision(retrieved: DataFrame, relevant: DataFrame, keys: list[str])
 def mode_report(measured: DataFrame, by: list[str]) -> DataFrame:
     """Means of recall, precision and latency over questions, by mode, or by mode and kind of question."""
     return measured.groupBy(*by).agg(F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("latencia").alias("latencia"), F.count("*").alias("perguntas"))
+
+
+def top_and_rest(rows: DataFrame, order: list[Column], first: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The first rows of a short ranked list, and what comes after them."""
+    numbered = rows.withColumn("posicao", F.row_number().over(Window.orderBy(*order)))
+    return numbered.filter(F.col("posicao") <= first), numbered.filter(F.col("posicao") > first)

@@ -592,3 +592,27 @@ def column_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = 10.0 + 300 * (F.col("n") % 2) + 2 * (F.col("n") % 5)
     words = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("o_custkey"), F.col("l_orderkey").alias("o_orderkey")).withColumn("n", F.row_number().over(order))
     return D.column_gap(words.select(F.col("o_custkey").alias("pagina"), F.lit(600.0).alias("largura"), left.alias("x0"), (left + 50).alias("x1")), "pagina")
+
+
+@query(f"WITH {BM25_SQL}, t AS (SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20), n AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS posicao FROM t) SELECT doc_id, posicao, posicao <= 6 AS em_destaque FROM n")
+def top_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = R.top_k(R.bm25(table(spark, sf_dir, "documents"), TERMS), 20, "doc_id")
+    first, rest = R.top_and_rest(hits, [F.desc("score"), F.col("doc_id")])
+    return first.withColumn("em_destaque", F.lit(True)).unionByName(rest.withColumn("em_destaque", F.lit(False))).select("doc_id", "posicao", "em_destaque")
+
+
+@query("SELECT conv_id, turn, json_object('conv_id', conv_id, 'turn', turn, 'role', role, 'n', len(text))::VARCHAR AS qualidade FROM conversations")
+def quality_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", F.length("text").alias("n"))).alias("qualidade"))
+
+
+@query("""WITH w AS (SELECT l_orderkey % 40 AS pagina, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
+p AS (SELECT pagina, n, n % 2 AS coluna, (n + 1) // 2 AS linha, count(*) OVER (PARTITION BY pagina) AS total FROM w)
+SELECT pagina, 2 AS colunas, md5(string_agg('p' || n, chr(10) ORDER BY 1 - coluna, linha)) AS texto_md5 FROM p WHERE total >= 32 GROUP BY pagina""")
+def column_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as words of two-column pages: odd ones left, even ones right, one word a line."""
+    order = Window.partitionBy("pagina").orderBy("l_orderkey", "l_linenumber")
+    words = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("pagina"), "l_orderkey", "l_linenumber").withColumn("n", F.row_number().over(order))
+    left, top = F.when(F.col("n") % 2 == 1, 10.0).otherwise(310.0), 10.0 * F.floor((F.col("n") + 1) / 2)
+    placed = words.select("pagina", F.lit(600.0).alias("largura"), left.alias("x0"), (left + 50).alias("x1"), F.concat(F.lit("p"), F.col("n").cast("string")).alias("text"), top.cast("double").alias("top"), (top + 8).cast("double").alias("bottom"), F.count("*").over(Window.partitionBy("pagina")).alias("total"))
+    return D.column_text(placed.filter("total >= 32"), "pagina").select("pagina", "colunas", F.md5("texto").alias("texto_md5"))

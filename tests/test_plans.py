@@ -161,3 +161,37 @@ def test_dossier_and_listings(spark):
     assert [r.documento_id for r in done.collect()] == ["d3", "d1", "d2"] and undone.count() == 3
     assert [r.documento_id for r in engine.acervo(docs, held, q="NITE", tipo="Edital")[0].collect()] == ["d3"]
     assert [(r.tipo_erro, r.total, r.total_ok, r.percentual) for r in engine.quarantine_stats(docs, held).collect()] == [("texto_vazio", 2, 3, 50.0), ("outro", 1, 3, 50.0)]
+
+
+def test_catalogue_source(spark):
+    """Pages of a catalogue served on this machine."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from quillspark.session import ship_code
+    from quillspark.sources.catalogue import CatalogueSource
+
+    held = {"1": 5, "2": 0}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            rows = [{"territory_id": q["territory_ids"], "territory_name": "Niteroi", "date": f"2026-01-{9 - i:02}", "edition": i, "url": f"u{i}"} for i in range(held[q["territory_ids"]])]
+            at = int(q["offset"])
+            body = json.dumps({"gazettes": rows[at : at + int(q["size"])]} if rows else {}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ship_code(spark)
+    spark.dataSource.register(CatalogueSource)
+    rows = spark.read.format("catalogue").option("url", f"http://127.0.0.1:{server.server_port}/gazettes").option("territory_ids", "1, 2").option("size", "2").load().collect()
+    server.shutdown()
+    assert [(r.territory_id, r.edicao, r.url_origem) for r in sorted(rows, key=lambda r: r.edicao)] == [("1", str(i), f"u{i}") for i in range(5)]
