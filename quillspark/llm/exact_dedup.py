@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import fuse_filter
+from quillspark.llm.idmap import id_map, where_marked
 from quillspark.session import materialise, ship_code
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,12 +108,15 @@ def _differing(docs: DataFrame, joined: DataFrame, doc_id: str, text: str) -> Da
     """Rows of shared digests whose bytes differ from those of the row that stays.
 
     SHA-256 makes this set empty in practice; it is what turns "equal digest"
-    into "equal text". Texts are dealt once, by (digest, salt); the text of a
-    group's last row goes only to the salts that hold members of the group.
+    into "equal text". A map of the shared digests keeps the other texts where
+    they are. Texts are dealt once, by (digest, salt); the text of a group's last
+    row goes only to the salts that hold members of the group.
     """
-    salts = joined.filter("group_size > 1").groupBy("digest", "salt").agg(F.max("keep_id").alias("keep_id"))
+    salts = materialise(joined.filter("group_size > 1").groupBy("digest", "salt").agg(F.max("keep_id").alias("keep_id")), "shared")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("norm"))
-    texts = _salted(texts.withColumn("digest", F.unhex(F.sha2("norm", 256))))
+    texts = texts.withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    shared = docs.sparkSession.sparkContext.broadcast(id_map(salts, "digest"))
+    texts = _salted(where_marked(texts, F.col("digest"), shared))
     members = materialise(texts.join(salts, ["digest", "salt"]), "members")
     models = members.filter("doc_id = keep_id").groupBy("digest").agg(F.max("norm").alias("model"))
     models = salts.select("digest", "salt").join(models, "digest")
@@ -128,7 +132,8 @@ def dedup(docs: DataFrame, is_snapshot: Column, doc_id: str = "doc_id", text: st
     ship_code(docs.sparkSession)
     rows = materialise(digests(docs, is_snapshot, doc_id, text), "digests")
     counts = {r["old"]: r["n"] for r in rows.groupBy("old").agg(F.count("*").alias("n")).collect()}
-    n_buckets = max(1, -(-max([1, *counts.values()]) // KEYS_PER_FILTER))
+    # At least as many as a shuffle has partitions, so that no task screens a large share.
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max([1, *counts.values()]) // KEYS_PER_FILTER))
     snapshot = materialise(with_buckets(grouped(rows.filter("old")), n_buckets), "snapshot")
     filters = snapshot_filters(snapshot)
     batch = with_buckets(grouped(rows.filter("NOT old")), n_buckets)
