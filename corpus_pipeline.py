@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
+from quillspark.llm import bpe, exact_dedup, idmap, mixing, ngram_join, toxicity
 from quillspark.session import materialise, table
 
 #: The mixture: every source at least once, none more than this many times.
@@ -27,19 +27,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id, once."""
-    decided = exact_dedup.dedup(docs, exact_dedup.halves(docs)).filter("kept")
-    kept = decided.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    rows = docs.withColumn("__own", F.sha2(exact_dedup.normalised(F.col("text")), 256))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    """Of equal texts the row with the largest id; of rows equal in id and text one.
+
+    Rows without an id are kept only if no other row has their text.
+    """
+    decided = materialise(exact_dedup.dedup(docs, exact_dedup.halves(docs)), "decided")
+    key = lambda i, sha: F.xxhash64(i, sha)
+    out = idmap.without(docs, key(F.col("doc_id").cast("long"), F.sha2(exact_dedup.normalised(F.col("text")), 256)), decided.filter("NOT kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key")))
+    again = decided.groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    # Only rows whose id comes twice can be repeated.
+    words = spark.sparkContext.broadcast(idmap.id_map(again, "doc_id"))
+    own = F.col("doc_id").cast("long")
+    repeated = idmap.where_marked(out, own, words).withColumn("__own", exact_dedup.normalised(F.col("text"))).dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    return idmap.where_marked(out, own, words, False).unionByName(repeated)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id."""
-    kept = ngram_join.join_documents(docs, ngram_join.Join(size=5, num=80, den=100)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id; rows without an id stay."""
+    found = ngram_join.join_documents(docs, ngram_join.Join(size=5, num=80, den=100))
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return idmap.without(docs, F.col("doc_id").cast("long"), materialise(gone, "near-copies"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
