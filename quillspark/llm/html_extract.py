@@ -8,9 +8,14 @@ The field is trained here by gradient ascent on the exact log-likelihood over
 labelled pages that ``labelled_pages`` composes: sites with menus, headers,
 notices, adverts, sidebars, forms, reader comments and footers around articles.
 
+Hidden elements (scripts, forms' controls, the attributes hidden and
+aria-hidden="true", inline display:none and visibility:hidden) have no text,
+inside a block either.
+
 Defined results: null or empty html gives an empty text; malformed markup never
-fails (unknown or unclosed tags are tolerated); repeated pages are extracted
-one by one; extra columns are ignored; memory is in proportion to one page.
+fails (unknown or unclosed tags are tolerated) and is read in linear time;
+repeated pages are extracted one by one; an empty table gives an empty result;
+extra columns are ignored; memory is in proportion to one page.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -39,7 +44,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th
 FENCE = frozenset("ul ol dl table body html div section article main".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)|<[!?][^>]*+>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
+ATTRIBUTE = re.compile(r"([^\s=\"'/]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"']*+)))?+")
+HIDING = re.compile(r"hidden|display", re.I)
+STYLED_AWAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 #: Words of class, id or role that speak for a kind of block, by feature.
@@ -64,28 +73,71 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("marks", "mine", "tag")
+    __slots__ = ("hidden", "marks", "tag")
 
-    def __init__(self, tag: str, attributes: str, above: frozenset):
+    def __init__(self, tag: str, attributes: str, above: frozenset, hidden: bool):
         self.tag = tag
         mine = {"<" + tag} if tag in BLOCKS else set()
+        self.hidden = hidden or tag in HIDDEN
         if attributes:
             for m in NAMED.finditer(attributes):
                 for w in WORDS.findall((m[1] or m[2] or m[3] or "").lower()):
                     if w in HINT_OF:
                         mine.add("@" + HINT_OF[w])
-        if tag in HIDDEN or re.search(r"\bhidden\b|display\s*:\s*none", attributes, re.I):
-            mine.add("hidden")
+            self.hidden = self.hidden or _hides(attributes)
         self.marks = above | mine if mine else above
 
 
+def _hides(attributes: str) -> bool:
+    """Whether attributes hide an element: by name, for readers' aids, or by inline style."""
+    if HIDING.search(attributes) is None:
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true") or (name == "style" and STYLED_AWAY.search(value)):
+            return True
+    return False
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that looking one up does not walk the stack."""
+
+    def __init__(self) -> None:
+        self.open: list[_Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.marks: frozenset = frozenset()
+        self.hidden = False
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, -1 if none is."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag: str, attributes: str) -> None:
+        element = _Element(tag, attributes, self.marks, self.hidden)
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(element)
+        self.marks, self.hidden = element.marks, element.hidden
+
+    def pop_to(self, i: int) -> None:
+        for e in self.open[i:]:
+            self.at[e.tag].pop()
+        del self.open[i:]
+        self.marks, self.hidden = (self.open[-1].marks, self.open[-1].hidden) if self.open else (frozenset(), False)
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The page's visible text blocks in order, with their ancestors' marks."""
-    stack: list[_Element] = []
+    stack = _Stack()
     out: list[Block] = []
     parts: list[str] = []
-    linked, links = 0, 0
-    marks: frozenset = frozenset()
+    linked = 0
+
+    def say(text: str) -> None:
+        nonlocal linked
+        if not stack.hidden:
+            parts.append(text)
+            if stack.at.get("a"):
+                linked += len(text)
 
     def flush() -> None:
         nonlocal linked
@@ -95,24 +147,16 @@ def leaf_blocks(page: str) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             parts.clear()
-            if text and "hidden" not in marks:
-                out.append(Block(text, marks | _text_features(text, linked)))
+            if text:
+                out.append(Block(text, stack.marks | _text_features(text, linked)))
         linked = 0
 
-    def pop_to(i: int) -> None:
-        nonlocal marks, links
-        for e in stack[i:]:
-            links -= e.tag == "a"
-        del stack[i:]
-        marks = stack[-1].marks if stack else frozenset()
-
-    at, n = 0, len(page)
-    match = TOKEN.search(page)
+    # Behind the last > there is no tag to look for; a comment that never ends is no text.
+    at, last = 0, page.rfind(">") + 1
+    match = TOKEN.search(page, 0, last)
     while match:
         if match.start() > at:
-            parts.append(page[at : match.start()])
-            if links:
-                linked += match.start() - at
+            say(page[at : match.start()])
         at = match.end()
         tag = match[2]
         if tag:
@@ -121,31 +165,26 @@ def leaf_blocks(page: str) -> list[Block]:
             if bound:
                 flush()
             elif tag == "br":
-                parts.append(" ")
+                say(" ")
             if match[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        pop_to(i)
-                        break
+                i = stack.last((tag,))
+                if i >= 0:
+                    stack.pop_to(i)
             elif tag not in VOID:
-                ends = CLOSES.get(tag) or ({"p"} if bound else ())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in ends:
-                        pop_to(i)
-                        break
-                    if stack[i].tag in FENCE:
-                        break
+                ends = CLOSES.get(tag) or (("p",) if bound else ())
+                i = stack.last(ends)
+                if i >= 0 and i > stack.last(FENCE):
+                    stack.pop_to(i)
                 if not match[3].endswith("/>") or bound:
-                    element = _Element(tag, match[3][:-1], marks)
-                    stack.append(element)
-                    marks = element.marks
-                    links += tag == "a"
+                    stack.push(tag, match[3][:-1])
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                    at = end.start() if end else n
-        match = TOKEN.search(page, at)
-    if at < n:
-        parts.append(page[at:])
+                    end = RAW_END[tag].search(page, at)
+                    at = end.start() if end else len(page)
+        match = TOKEN.search(page, at, last) if at < last else None
+    if at < len(page) and "<!--" in page[at:]:
+        say(page[at : page.index("<!--", at)])
+    elif at < len(page):
+        say(page[at:])
     flush()
     return out
 
@@ -229,13 +268,14 @@ def labelled_pages(count: int, seed: int = 5) -> Iterator[tuple[str, list[int]]]
             n = rng.randint(1, 9)
             put(f"<{tag}{cls}><ul>" + "".join(f'<li><a href="/x">{phrase(1, 3)}</a></li>' for _ in range(n)) + f"</ul></{tag}>", *[0] * n)
 
-        def boxed(names: str, low: int = 1, high: int = 3) -> None:
+        def boxed(names: str, low: int = 1, high: int = 3, unnamed: float = 0.15) -> None:
             tag = rng.choice(["div", "section", "aside", "div"])
             n = rng.randint(1, 3)
             text = lambda: sentences(low, high) if some(0.7) else phrase(1, 6)
             inner = text() if n == 1 and some(0.6) else "".join(f"<p>{text()}</p>" for _ in range(n))
             key = rng.choice(["class", "class", "id"])
-            name = rng.choice(names.split())
+            # Many sites name their boxes by words that tell nothing.
+            name = rng.choice(names.split()) if not some(unnamed) else word() + rng.choice(["", "-wide", " overflow-hidden"])
             put(f'<{tag} {key}="{name if some(0.7) else name + rng.choice(["-box", "_1", " wide"])}">{inner}</{tag}>', *[0] * inner.count("<p>") or [0])
 
         def form() -> None:
@@ -256,7 +296,8 @@ def labelled_pages(count: int, seed: int = 5) -> Iterator[tuple[str, list[int]]]
             boxed(HINTS["ad"])
         if some(0.2):
             boxed(HINTS["side"])
-        shell = rng.choice(["article", "article", "article", "main", '<main><article', 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="entry"', "div", 'td class="body"'])
+        plain = f'div class="{word()}"'
+        shell = rng.choice(["article", "article", "article", f'article class="{word()} overflow-hidden"', plain, "main", '<main><article', 'div class="content"', 'div id="main-content"', 'div class="post"', 'section class="entry"', "div", 'td class="body"'])
         opened = shell if shell.startswith("<") else "<" + shell
         tags = re.findall(r"<([a-z]+)", opened)
         put(opened + ">" if "td" not in tags else "<table><tr>" + opened + ">")
@@ -278,7 +319,7 @@ def labelled_pages(count: int, seed: int = 5) -> Iterator[tuple[str, list[int]]]
             elif kind < 0.96:
                 put(f"<pre>{phrase(1, 9)}</pre>", 1)
             elif some(0.6):
-                boxed(HINTS[rng.choice(["ad", "side", "note", "share"])])
+                boxed(HINTS[rng.choice(["ad", "side", "note", "share"])], unnamed=0)
             else:
                 form()
         put("".join(f"</{t}>" for t in reversed(tags)) + ("</tr></table>" if "td" in tags else ""))
