@@ -85,30 +85,40 @@ class CharModel:
         return got if got is not None else self.unseen.get(pair, self.none)
 
 
+def _arcs(token: str, at: int) -> list[tuple[str, float]]:
+    """What the sign at a place may have been sent for ("" for nothing), with its cost."""
+    c = token[at]
+    again = at > 0 and token[at - 1] == c
+    if c in ALPHABET:
+        return [(c, 0.0), ("", REPEAT_COST)] if again else [(c, 0.0)]
+    return [*((x, LEET_COST) for x in LEET.get(c, "")), ("", GAP_COST if c in GAPS else REPEAT_COST if again else LOST_COST)]
+
+
+def _read(chain: tuple | None) -> str:
+    out = []
+    while chain is not None:
+        chain, sign = chain
+        out.append(sign)
+    return "".join(reversed(out))
+
+
 def restore(token: str, model: CharModel) -> str:
-    """The letters most likely sent as ``token``: Viterbi over its lattice."""
-    # state: the last two letters -> (cost, letters)
-    states: dict[str, tuple[float, str]] = {EDGE + EDGE: (0.0, "")}
-    for at, c in enumerate(token):
-        arcs: list[tuple[str, float]] = []
-        if c in ALPHABET:
-            arcs.append((c, 0.0))
-            if at and token[at - 1] == c:
-                arcs.append(("", REPEAT_COST))
-        else:
-            arcs += [(x, LEET_COST) for x in LEET.get(c, "")]
-            arcs.append(("", GAP_COST if c in GAPS else REPEAT_COST if at and token[at - 1] == c else LOST_COST))
-        after: dict[str, tuple[float, str]] = {}
-        for pair, (cost, text) in states.items():
+    """The letters most likely sent as ``token``: Viterbi over its lattice, exact, in linear time."""
+    # state: the last two letters -> (cost, chain of letters)
+    states: dict[str, tuple[float, tuple | None]] = {EDGE + EDGE: (0.0, None)}
+    for at in range(len(token)):
+        after: dict[str, tuple[float, tuple | None]] = {}
+        arcs = _arcs(token, at)
+        for pair, (cost, chain) in states.items():
             for letter, extra in arcs:
                 if letter:
-                    there, total, out = pair[1] + letter, cost + extra - model.logp(pair, letter), text + letter
+                    there, total, read = pair[1] + letter, cost + extra - model.logp(pair, letter), (chain, letter)
                 else:
-                    there, total, out = pair, cost + extra, text
+                    there, total, read = pair, cost + extra, chain
                 if there not in after or total < after[there][0]:
-                    after[there] = (total, out)
-        states = dict(sorted(after.items(), key=lambda s: s[1][0])[:32])
-    return min(((cost - model.logp(pair, EDGE), text) for pair, (cost, text) in states.items()), default=(0.0, token))[1]
+                    after[there] = (total, read)
+        states = after
+    return _read(min(((cost - model.logp(pair, EDGE), chain) for pair, (cost, chain) in states.items()), key=lambda s: s[0])[1])
 
 
 def segmented(letters: str, model: CharModel) -> list[str]:
@@ -127,13 +137,8 @@ def segmented(letters: str, model: CharModel) -> list[str]:
                     there, total = before[1] + letter, so_far + extra - model.logp(before, letter)
                     if there not in after or total < after[there][0]:
                         after[there] = (total, (read, letter))
-        states = dict(sorted(after.items(), key=lambda s: s[1][0])[:32])
-    chain = min(((cost - model.logp(pair, EDGE), chain) for pair, (cost, chain) in states.items()), key=lambda s: s[0])[1]
-    out = []
-    while chain is not None:
-        chain, sign = chain
-        out.append(sign)
-    return "".join(reversed(out)).split()
+        states = after
+    return _read(min(((cost - model.logp(pair, EDGE), chain) for pair, (cost, chain) in states.items()), key=lambda s: s[0])[1]).split()
 
 
 def lattice_worthy(token: str) -> bool:
@@ -184,12 +189,12 @@ class Reader:
         return out
 
     def joined(self, part: str) -> str:
-        """One unbroken run of letters and digits of any length, restored piece by piece."""
+        """One unbroken run of letters and digits of any length, restored as a whole."""
         if len(part) <= LONGEST:
             return self.word(part)
         if MIXED.search(part) is None and REPEATS.search(part) is None:
             return part if any(map(str.isalpha, part)) else ""
-        return "".join(restore(part[i : i + LONGEST], self.model) for i in range(0, len(part), LONGEST))
+        return restore(part, self.model)
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
