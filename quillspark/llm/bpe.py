@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import ship_code
 
-MEMO = 400_000
+#: Pieces that a task remembers, and the characters of the longest of them.
+MEMO, MEMO_CHARS = 400_000, 256
 #: Average keys of one displacement bucket of the perfect hash.
 BUCKET = 4
 
@@ -174,12 +175,14 @@ class Codec:
             pass
         if len(memo) > MEMO:
             memo.clear()
+        # Long pieces are not kept beyond their text, so the memo is bounded in bytes too.
+        long: dict[str, tuple[int, ...]] = {}
         for piece in pieces:
-            if piece not in memo:
+            if piece not in memo and piece not in long:
                 data = piece.encode("utf-8", "surrogatepass")
                 one = self.whole(data)
-                memo[piece] = (one,) if one is not None else self.merged(data)
-        return list(chain.from_iterable(map(memo.__getitem__, pieces)))
+                (memo if len(piece) <= MEMO_CHARS else long)[piece] = (one,) if one is not None else self.merged(data)
+        return list(chain.from_iterable(memo[p] if p in memo else long[p] for p in pieces))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

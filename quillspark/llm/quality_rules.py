@@ -119,24 +119,25 @@ def line_passes(line: Column, rules: LineRules) -> Column:
 
 def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """``docs`` with the base measures, ``cleaned`` text, ``base_failed`` and ``kept``."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = words_of(F.col("_t"))
-    lines = F.split(F.col("_t"), "\n", -1)
-    squeezed = F.regexp_replace(F.col("_t"), WORD_GAP, "")
+    taken = {c.lower() for c in docs.columns}
+    whole, cut = (next(n for k in range(len(taken) + 1) if (n := f"_{name}{k}") not in taken) for name in ("t", "w"))
+    words = words_of(F.col(whole))
+    lines = F.split(F.col(whole), "\n", -1)
+    squeezed = F.regexp_replace(F.col(whole), WORD_GAP, "")
     kept_lines = F.filter(lines, lambda x: line_passes(x, rules))
     worded = F.filter(lines, lambda x: x.rlike(WORD_CHAR))
-    out = docs.withColumn("_t", t).withColumn("_w", words)
+    out = docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(cut, words)
     out = out.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
+            "n_words": F.size(cut).cast("long"),
             "word_chars": F.length(squeezed).cast("long"),
-            "n_symbols": (F.length(F.col("_t")) - F.length(F.translate(F.col("_t"), SYMBOLS, ""))).cast("long"),
+            "n_symbols": (F.length(F.col(whole)) - F.length(F.translate(F.col(whole), SYMBOLS, ""))).cast("long"),
             "n_dup_lines": let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": _repeat_words(F.col("_w")),
+            "n_repeat_words": _repeat_words(F.col(cut)),
             "cleaned": F.array_join(kept_lines, "\n"),
         }
     )
     out = out.withColumn("kept_chars", F.length(F.regexp_replace("cleaned", WORD_GAP, "")).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_pct))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") * 100 >= F.col("word_chars") * (100 - rules.max_lost_pct)))
-    return out.drop("_t", "_w")
+    return out.drop(whole, cut)

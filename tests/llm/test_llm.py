@@ -484,3 +484,381 @@ def test_pipeline_odd(spark):
             docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         docs.count()
+
+
+# ---- further cases of the join
+
+
+def got_components(spark, rows, size=3, num=90):
+    """rows: (doc_id, text) pairs, ids may repeat."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return ngram_join.join_documents(df, ngram_join.Join(size=size, num=num, den=100)).collect()
+
+
+@pytest.mark.parametrize("members", [30, 300, 3000])
+def test_join_crowds(spark, members):
+    """Edits of one text, edits of edits, and texts that share most of a passage: components are those of all pairs."""
+    rng = random.Random(members)
+    length = 60 if members > 1000 else 150
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(length)]
+    rows, last = {}, base
+    for i in range(members):
+        words = list(last if i % 3 == 2 else base)
+        for _ in range(rng.randint(0, 3 if i % 5 else 12)):
+            words[rng.randrange(length)] = f"v{rng.randint(0, 99999)}"
+        last = words
+        rows[i] = " ".join(words)
+    got = {r.doc_id: r.component_id for r in got_components(spark, list(rows.items()))}
+    assert got == fast_components(rows, 3, 90)
+
+
+def fast_components(rows, size, num):
+    """All pairs, by counting shared shingles."""
+    import numpy as np
+
+    from quillspark.llm.components import find
+
+    place = {}
+    sets = [sorted({place.setdefault(tuple(w[k : k + size]), len(place)) for k in range(len(w) - size + 1)}) for w in (t.split() for t in rows.values())]
+    held = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, s] = 1
+    n, ids, up = held.sum(axis=1), list(rows), {}
+    for at in range(0, len(sets), 500):
+        both = held[at : at + 500] @ held.T
+        for i, j in zip(*np.nonzero(100 * both >= num * (n[at : at + 500, None] + n[None, :] - both)), strict=True):
+            x, y = find(up, ids[at + i]), find(up, ids[j])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    return {i: find(up, i) for i in rows}
+
+
+def test_join_repeated_and_null_ids(spark):
+    one, two, three = ("alpha beta gamma delta epsilon " * 1).strip(), "one two three four five six seven", "completely other words stand in here"
+    rows = [(1, one), (2, one + " zeta"), (5, one), (5, two), (7, two), (7, two), (9, three), (None, three), (None, one), (11, None)]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in got_components(spark, rows))
+    # 5 has two texts, so 1 and 7 are joined through it; rows without an id link with nothing.
+    assert got == sorted([(1, 1), (2, 2), (5, 1), (5, 1), (7, 1), (7, 1), (9, 9), (-1, -1), (-1, -1), (11, 11)])
+
+
+def test_join_hot_tokens(spark, monkeypatch):
+    """Tokens held by many documents are dealt into salts, with the same result."""
+    monkeypatch.setattr(ngram_join, "HOT_BITS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
+    rng = random.Random(77)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(100)]
+    rows = {}
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(100)] = f"v{rng.randint(0, 9999)}"
+        rows[i] = " ".join(words)
+    assert {r.doc_id: r.component_id for r in got_components(spark, list(rows.items()))} == fast_components(rows, 3, 90)
+
+
+def test_parity_maps_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        pool = rng.integers(0, 1 << 63, 900, np.uint64)
+        a, b = np.unique(pool[rng.integers(0, 900, rng.integers(1, 700))]), np.unique(pool[rng.integers(0, 900, rng.integers(1, 700))])
+        x, y = ngram_join.parity_map(a), ngram_join.parity_map(b)
+        while len(x) != len(y):
+            x, y = (ngram_join.fold(x), y) if len(x) > len(y) else (x, ngram_join.fold(y))
+        apart = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+        assert bits <= apart and (apart - bits) % 2 == 0
+
+
+# ---- further cases of toxicity
+
+
+def enumerated(token, model):
+    """The cheapest reading of a lattice, by trying all of them."""
+    from itertools import product
+
+    best = None
+    for path in product(*(toxicity._arcs(token, i) for i in range(len(token)))):
+        text = "".join(letter for letter, _ in path)
+        marked = toxicity.EDGE * 2 + text
+        cost = sum(extra for _, extra in path) - sum(model.logp(marked[i : i + 2], marked[i + 2]) for i in range(len(text))) - model.logp(marked[-2:], toxicity.EDGE)
+        if best is None or cost < best[0]:
+            best = (cost, text)
+    return best[1]
+
+
+def test_restore_equals_enumeration():
+    rng = random.Random(12)
+    grams = {a + b + c: rng.randint(1, 400) for a in "^abeilost" for b in "^abeilost" for c in "^abeilost" if rng.random() < 0.5}
+    model = toxicity.CharModel(grams)
+    for _ in range(400):
+        token = "".join(rng.choice("abeilost01345!|$@-_.7  ") for _ in range(rng.randint(1, 9)))
+        assert toxicity.restore(token, model) == enumerated(token, model), token
+
+
+def test_restore_of_long_tokens():
+    words = ["idiot", "stupid", "other", "plain", "words"] * 50
+    counts = {}
+    for w in words:
+        marked = "^^" + w + "^"
+        for i in range(len(marked) - 2):
+            counts[marked[i : i + 3]] = counts.get(marked[i : i + 3], 0) + 1
+    reader = toxicity.Reader(toxicity.CharModel(counts))
+    for n in (41, 60, 4000):
+        assert "idiot" in reader.words("idi" + "o" * n + "t"), n
+        assert "idiot" in reader.words("i" + "." * n + "d.i.o.t"), n
+    long = "st" + "0" * 30 + "p" * 30 + "1d"
+    assert reader.words(long * 100)
+
+
+def test_toxicity_tables(spark):
+    """Empty tables, labels of one kind, and rows without a label or id."""
+    labels = spark.createDataFrame([(0, 1), (2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    for docs in (empty_docs(spark), odd_docs(spark)):
+        model = toxicity.train(docs, labels)
+        assert toxicity.score(docs, model).count() == docs.count()
+        assert toxicity.keep_clean(docs, model).columns == docs.columns
+    nothing = toxicity.train(odd_docs(spark), labels.limit(0))
+    assert {r.score for r in toxicity.score(odd_docs(spark), nothing).collect()} == {toxicity.score(odd_docs(spark), nothing).first().score}
+
+
+# ---- further cases of the mixture
+
+
+def plain_mixture(rows, target, block, seed):
+    """{row number: passes} by sorting blocks and rows; rows: (number, source, tokens, h) with hashes from ``block``."""
+    import math
+
+    tokens, docs = {}, {}
+    for _, source, n, _ in rows:
+        tokens[source] = tokens.get(source, 0) + n
+        docs[source] = docs.get(source, 0) + 1
+    total = sum(tokens.values())
+    some = {s: n / total for s, n in tokens.items() if n}
+    goal = target.entropy * math.log(len(some))
+
+    def weights(a):
+        z = sum(p**a for p in some.values())
+        return {s: p**a / z for s, p in some.items()}
+
+    def holds(a):
+        return -sum(w * math.log(w) for w in weights(a).values()) >= goal
+
+    def epochs(a):
+        return {s: target.budget * total * w / tokens[s] for s, w in weights(a).items()}
+
+    def last(test):  # the largest exponent at which a predicate holds that is true below
+        if test(1.0):
+            return 1.0
+        low, high = 0.0, 1.0
+        for _ in range(80):
+            low, high = ((low + high) / 2, high) if test((low + high) / 2) else (low, (low + high) / 2)
+        return low
+
+    a = max(last(holds), last(lambda x: max(epochs(x).values()) > target.repeats))
+    passes = {}
+    for source in tokens:
+        e = epochs(a).get(source, 1.0)
+        whole, room, before = math.floor(e), (e - math.floor(e)) * tokens[source], 0
+        mine = [r for r in rows if r[1] == source]
+        places = block(source, whole, docs[source], seed, mine)
+        for number, _, n, _ in mine:
+            passes[number] = whole
+        for number, n in places:
+            if before >= room:
+                break
+            passes[number] += 1
+            before += n
+    return passes
+
+
+def test_mixture_query_against_sorting(spark):
+    """The registered query: how often each document comes, against blocks and rows sorted one by one."""
+    target = mixing.Target()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text")
+    hashed = docs.select("doc_id", "source", mixing._words(F.col("text")).alias("n"), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(target.seed)).alias("h")).collect()
+    rows = [(r.doc_id, r.source, r.n, r.h) for r in hashed]
+
+    def block(source, epoch, n_docs, seed, mine):
+        frame = spark.createDataFrame([(number, source, n, h, n_docs) for number, source, n, h in mine], "number long, source string, n long, h long, n_docs long")
+        placed = frame.withColumn("block", mixing._block("h", "n_docs", seed))
+        return [(r.number, r.n) for r in placed.select("number", "n", "block", mixing._block_place("source", "block", F.lit(epoch), seed).alias("p"), mixing._row_place("h", F.lit(epoch)).alias("q"), "h").orderBy("p", "block", "q", "h").collect()]
+
+    want = plain_mixture(rows, target, block, target.seed)
+    got = {i: 0 for i in want}
+    for r in queries.op10_source_mixing(spark, SF).collect():
+        got[r.doc_id] += 1
+        assert 0 <= r.mix_at < 1 and r.mix_epoch < want[r.doc_id]
+    assert got == want
+
+
+def test_mixture_keeps_clashing_names(spark):
+    names = ["tokens", "weight", "epochs", "__n", "before", "room", "n_blocks", "row", "h", "block", "passes", "epoch", "a.b", "Mix_At"]
+    rows = [(i, ("x", "y", None)[i % 3], f"w{i} " * (1 + i % 7), *range(len(names))) for i in range(60)] + [(None, "x", "lost one", *range(len(names))), (None, "x", "lost two", *range(len(names))), (3, "x", None, *range(len(names)))]
+    frame = spark.createDataFrame(rows, ["doc_id", "source", "text", *names])
+    mixed = mixing.mix(frame, mixing.Target(entropy=0.98, repeats=1.5, budget=None))
+    assert mixed.columns == ["doc_id", "source", "text", *names[:-1], "mix_tokens", "mix_block", "mix_epoch", "mix_at"]
+    got = mixed.collect()
+    assert {(r.doc_id, r.text) for r in got} == {(r[0], r[2]) for r in rows}
+    assert all(tuple(r)[3 : 2 + len(names)] == tuple(range(len(names) - 1)) for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame.repartition(7), mixing.Target(entropy=0.98, repeats=1.5, budget=None)).collect()))
+
+
+def test_mixture_of_many_sources(spark, monkeypatch):
+    """More sources than are sent to every task: the salted join gives the same rows."""
+    frame = spark.createDataFrame([(i, f"s{i % 23}", "word " * (1 + i % 11)) for i in range(400)], "doc_id long, source string, text string")
+    plain = sorted(map(tuple, mixing.mix(frame).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, mixing.mix(frame).collect())) == plain
+
+
+# ---- further cases of pages
+
+
+def test_html_hidden_parts_and_names():
+    model = html_extract.trained_field()
+    page = '<body><nav><ul><li><a href="/">Home</a></li></ul></nav><article{}><h1>Title here</h1><p>A sentence of some length stands here. And one more.</p></article><footer>&copy; me</footer></body>'
+    text = "Title here\nA sentence of some length stands here. And one more."
+    for attribute in (' class="content overflow-hidden"', ' aria-hidden="false"', ' data-x="hidden"', " data-hidden", " title='hidden'"):
+        assert html_extract.extract(page.format(attribute), model) == text, attribute
+    for attribute in (" hidden", ' hidden=""', ' aria-hidden="true"', ' style="color:red; display: none"', " style='visibility:hidden'"):
+        assert html_extract.extract(page.format(attribute), model) == "", attribute
+    inner = '<body><article><h1>Title here</h1><p>Text <noscript>no</noscript><svg><text>no</text></svg><span style="display:none">no</span>here <button>no</button>stays on. It does.</p></article></body>'
+    assert html_extract.extract(inner, model) == "Title here\nText here stays on. It does."
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    model = html_extract.trained_field()
+    for page in ("<b>" * 100_000, "<a " * 100_000, "<p><b>" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 50_000, '<a "' * 100_000, "</b>" * 100_000, "<!--" * 100_000):
+        began = time.thread_time()
+        html_extract.extract(page, model)
+        assert time.thread_time() - began < 5, page[:12]
+
+
+def test_html_odd_tables(spark):
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>A long line of text, which ends here. And here.</p>", None), (4, "u", "<article><h1>T</h1><p>One, two. Three four.</p></article>", "x"), (4, "u", "<article><h1>T</h1><p>One, two. Three four.</p></article>", "x"), (5, "u", "<article><h1>Long</h1>" + "<p>Some words that stand here, again. And again.</p>" * 20000 + "</article>", "x")]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
+    found = got.collect()
+    assert len(found) == len(rows) and [r.text for r in found if r.page_id in (1, 2)] == ["", ""]
+    assert [r.text for r in found if r.page_id == 4] == ["T\nOne, two. Three four."] * 2
+    assert all(r.n_chars == len(r.text) for r in found) and next(r for r in found if r.page_id == 5).text.count("\n") == 20000
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# ---- further cases of chats
+
+
+@pytest.mark.parametrize("turns", [20, 200])
+def test_chat_templates_of_whole_histories(spark, turns):
+    """A template that wants roles to alternate from the first turn on, over long talks."""
+
+    def strict_roles(said):
+        assert all(role == ("user", "assistant")[i % 2] for i, (role, _) in enumerate(said)), "roles must alternate"
+        return "".join(f"<{role}>{text}</{role}>" for role, text in said)
+
+    said = [(("user", "assistant")[i % 2], f"word {i * 7} said") for i in range(turns)]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_turns(rows, strict_roles).collect()
+    assert "".join(r.formatted for r in got) == strict_roles(said) and not any(r.rewritten for r in got)
+    whole = strict_roles(said)
+    assert [whole[r.text_start : r.text_end] for r in got] == [t for _, t in said]
+
+
+# ---- further cases of spans
+
+
+def test_spans_repeated_rows_nulls_and_names(spark):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p = word(120)
+    rows = [(3, p), (3, p), (5, word(60) + p + word(70)), (None, p + word(30)), (None, None), (9, p), (11, "x" * 49), (12, "x" * 49)]
+    frame = spark.createDataFrame([(i, t, "k", 1, 2, 3) for i, t in rows], "doc_id long, text string, bucket string, salt int, src int, data int")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed) for r in span_dedup.dedup_spans(frame).collect())
+    # A null id is the smallest one, so it holds the passage first.
+    assert got == sorted([(3, 120, 120), (3, 120, 120), (5, 250, 120), (-1, 150, 0), (-1, 0, 0), (9, 120, 120), (11, 49, 0), (12, 49, 0)])
+
+
+def test_spans_passage_in_many_surroundings(spark, monkeypatch):
+    """One passage in 2,000 different surroundings, with its anchors held by more documents than may share a source."""
+    monkeypatch.setattr(span_dedup, "HOT", 500)
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    p = word(90)
+    rows = {i: word(rng.randint(0, 120)) + (p if i % 3 else p[:70]) + word(rng.randint(0, 120)) for i in range(2000)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in span_dedup.dedup_spans(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == plain_removed(rows)
+
+
+# ---- the map of ids
+
+
+def test_rows_without_keys(spark, monkeypatch):
+    """The same rows stay whether the map is sparse or full."""
+    from quillspark.llm import idmap
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(500)] + [(None, "n")], "doc_id long, text string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 500, 3)], "doc_id long")
+    want = sorted(t for i, t in [(i, f"t{i}") for i in range(500) if i % 3] + [(None, "n")])
+    assert sorted(r.text for r in idmap.without(rows, F.col("doc_id"), gone).collect()) == want
+    monkeypatch.setattr(idmap, "BITS", 6)
+    assert sorted(r.text for r in idmap.without(rows, F.col("doc_id"), gone).collect()) == want
+
+
+def test_pipeline_run(spark, texts):
+    """All stages by run(): toxic rows go, tokens of what stays are those of the tokenizer."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    scored = {r.doc_id: r.predicted for r in queries.op9_toxicity(spark, SF).collect()}
+    assert clean == {i for i, p in scored.items() if not p}
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as file:
+        ranks = bpe.read_ranks(file.readlines())
+    peer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} <= clean
+    last = {}
+    for i in clean:
+        t = (texts[i] or "").translate(LOWER)
+        last[t] = max(i, last.get(t, i))
+    kept = set(last.values())
+    assert {r.doc_id for r in out} == {i for i, (_, c) in plain_components({i: texts[i] for i in kept}, 5, 80, 100).items() if i == c}
+    for r in out[:40]:
+        assert (r.n_tokens, r.decoded_sha256) == (len(peer.encode_ordinary(texts[r.doc_id])), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
+# ---- further odd cases
+
+
+def test_bpe_long_pieces_and_empty_tables(spark):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as file:
+        ranks = bpe.read_ranks(file.readlines())
+    peer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    for text in ("ab" * 3000, "é" * 2000 + " ab", "x" * 257 + " short " + "x" * 257, " " * 3000, "=" * 1000 + "\n" * 1000):
+        assert codec.encode(text) == peer.encode_ordinary(text) and codec.decode(codec.encode(text)) == text.encode()
+    assert all(len(k) <= bpe.MEMO_CHARS for k in codec.memo)
+    assert bpe.round_trip(empty_docs(spark), codec).count() == 0 and bpe.encode_table(empty_docs(spark), codec).count() == 0
+
+
+def test_quality_names_and_long_texts(spark):
+    long = "\n".join(f"line {i} has some plain words, which end here." for i in range(20000))
+    rows = [(1, long, 5, "w"), (2, None, 6, None), (2, "", None, "v"), (None, "a b", 7, "u")]
+    got = quality_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, _t0 int, _w0 string"))
+    assert got.columns[:4] == ["doc_id", "text", "_t0", "_w0"]
+    found = {(r.doc_id, r.text and r.text[:3]): r for r in got.collect()}
+    assert found[(1, "lin")].n_words == 9 * 20000 and found[(1, "lin")]._t0 == 5 and found[(1, "lin")]._w0 == "w"
+    assert found[(2, None)].n_words == 0 and found[(2, "")].n_words == 0 and found[(None, "a b")].n_words == 2
+
+
+def test_secrets_of_odd_rows(spark):
+    secret = "password = hunter22x"
+    rows = [(i, t, "s", 1, "b") for i, t in enumerate(ODD)] + [(1, secret, "s", 1, "b"), (1, secret, "s", 1, "b"), (None, "x " * 50000 + secret, None, None, None)]
+    got = secret_scan.digest(secret_scan.find_spans(spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, bucket string"))).collect()
+    assert len(got) == len(rows) and sorted(r.n_assign for r in got) == [0] * len(ODD) + [1, 1, 1]
+    assert {r.base_sha256 for r in got if r.doc_id == 1 and r.n_assign} == {hashlib.sha256(b"assign:0:20").hexdigest()}
+    assert next(r.base_sha256 for r in got if r.doc_id is None) == hashlib.sha256(b"assign:100000:100020").hexdigest()
