@@ -15,8 +15,8 @@ from __future__ import annotations
 import numpy as np
 
 
-def bounded_ranks(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of the first ``depth`` symbols at every position (fewer at the end), by doubling."""
+def bounded_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(length, ranks of the first ``length`` symbols at every position), by doubling; the last length is ``depth``."""
     # Seven symbols of nine bits fill a word, so the first three doublings are one sort.
     have = min(7, depth)
     key = np.zeros(len(text), np.uint64)
@@ -24,14 +24,16 @@ def bounded_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         symbol = np.zeros(len(text), np.uint64)
         symbol[: len(text) - k] = text[k:].astype(np.uint64) + np.uint64(1)
         key = (key << np.uint64(9)) | symbol
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    out = [(have, np.unique(key, return_inverse=True)[1].astype(np.int32) + 1)]
     while have < depth:
+        rank = out[-1][1].astype(np.int64)
         step = min(have, depth - have)
         shifted = np.zeros_like(rank)
         shifted[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + shifted, return_inverse=True)[1].astype(np.int64) + 1
+        rank = rank * (int(rank.max()) + 1) + shifted
         have += step
-    return rank
+        out.append((have, np.unique(rank, return_inverse=True)[1].astype(np.int32) + 1))
+    return out
 
 
 class RunIndex:
@@ -39,7 +41,8 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray, depth: int):
         self.depth, self.text = depth, text
-        ranks = bounded_ranks(text, depth)
+        self.ranks = bounded_ranks(text, depth)
+        ranks = self.ranks[-1][1]
         order = np.argsort(ranks, kind="stable")
         n = len(text)
         last = text[order - 1].astype(np.int64)  # row of position 0 wraps to the closing separator
@@ -80,6 +83,26 @@ class RunIndex:
     def _extension(self, at: np.ndarray, patterns: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Common length, up to depth, of the text at ``at`` and the pattern stream at ``where``."""
         out = np.zeros(len(at), np.int64)
+        if patterns is self.text:
+            # Equal ranks of a length are equal strings of it: the lengths halve, so each is tried once or twice.
+            live = (at < len(self.text)) & (where < len(self.text))
+            whole = np.zeros(len(at), bool)
+            whole[live] = self.ranks[-1][1][at[live]] == self.ranks[-1][1][where[live]]
+            out[whole] = self.depth
+            rest = np.flatnonzero(live & ~whole)
+            a, b, n = at[rest], where[rest], np.zeros(len(rest), np.int64)
+            for length, ranks in reversed(self.ranks[:-1]):
+                inside = (a + n < len(ranks)) & (b + n < len(ranks))
+                same = np.zeros(len(rest), bool)
+                same[inside] = ranks[(a + n)[inside]] == ranks[(b + n)[inside]]
+                n += length * same
+            live = np.ones(len(rest), bool)
+            for _ in range(self.ranks[0][0] - 1):
+                live &= (a + n < len(self.text)) & (b + n < len(self.text))
+                live[live] = self.text[(a + n)[live]] == self.text[(b + n)[live]]
+                n += live
+            out[rest] = n
+            return np.minimum(out, self.depth)
         live = np.ones(len(at), bool)
         for k in range(self.depth):
             a, b = at + k, where + k

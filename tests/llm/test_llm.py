@@ -862,3 +862,11 @@ def test_secrets_of_odd_rows(spark):
     assert len(got) == len(rows) and sorted(r.n_assign for r in got) == [0] * len(ODD) + [1, 1, 1]
     assert {r.base_sha256 for r in got if r.doc_id == 1 and r.n_assign} == {hashlib.sha256(b"assign:0:20").hexdigest()}
     assert next(r.base_sha256 for r in got if r.doc_id is None) == hashlib.sha256(b"assign:100000:100020").hexdigest()
+
+
+def test_spans_in_small_shares(spark, texts, monkeypatch):
+    """The whole fixture with sources cut small, anchors hot early, and shares of a few kilobytes."""
+    for name, value in (("TOGETHER", 4096), ("HOT", 6), ("SOURCE_BLOCK", 64), ("MOST_SEEN", 3)):
+        monkeypatch.setattr(span_dedup, name, value)
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op3_span_dedup(spark, SF).collect()}
+    assert got == plain_removed(texts)
