@@ -56,7 +56,7 @@ WINDOW = LENGTH - GRAM + 1
 PIECE = 1 << 20
 SALTS = 4
 #: Bytes of text whose anchors share a bucket, and bytes of text whose regions share an index.
-ANCHOR_BUCKET = 24 << 20
+ANCHOR_BUCKET = 12 << 20
 INDEX_BUCKET = 4 << 20
 #: Regions of which a task remembers that it has met them.
 MOST_SEEN = 1_000_000
@@ -427,6 +427,8 @@ def removed(found: DataFrame, buckets: int) -> DataFrame:
             if total[high] - total[low] >= TOGETHER or high == len(src):
                 out.append(_removed(group.slice(low, high - low).sort_by([("id", "ascending"), ("start", "ascending")])))
                 low = high
+        # Workers live on; what a bucket took should not stay with them.
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     keyed = found.withColumn("bucket", F.pmod(F.xxhash64("src", "block"), F.lit(buckets)).cast("int"))
