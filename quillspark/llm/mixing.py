@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from quillspark.session import materialise
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Documents of a block, and blocks of a stretch of a source's permutation.
 BLOCK, RANGE = 1024, 4096
 RESULT = ("mix_tokens", "mix_block", "mix_epoch", "mix_at")
@@ -116,7 +116,7 @@ def source_weights(rows: DataFrame, target: Target) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), lambda w: w != "")).cast("long")
 
 
 def _block(h: str, n_docs: str, seed: int) -> Column:
