@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, mixing, ngram_join, quality_rules, secret_scan, span_dedup, toxicity
+from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, lattice_dedup, mixing, ngram_join, quality_rules, secret_scan, span_dedup, toxicity
 from quillspark.session import table
 
 
@@ -60,6 +60,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op11_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op3_span_dedup": op3_span_dedup,
     "op7_ngram_join": op7_ngram_join,
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op11_lattice_dedup": op11_lattice_dedup,
 }
 
 OP5_SQL = """
@@ -146,7 +151,19 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
 """
 
+#: All pairs of vectors; holds for finite vectors of one length, as the table has them.
+OP11_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+m AS (SELECT a, min(b) AS low FROM c GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_lattice_dedup": OP11_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_ngram_join": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
