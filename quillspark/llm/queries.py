@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat_format, exact_dedup, html_extract, lattice_dedup, mixing, ngram_join, quality_rules, secret_scan, span_dedup, toxicity
+from quillspark.llm import bpe, chat_format, collocations, exact_dedup, html_extract, lattice_dedup, mixing, ngram_join, quality_rules, secret_scan, span_dedup, spelling, toxicity
 from quillspark.session import table
 
 
@@ -64,6 +64,14 @@ def op11_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op3_span_dedup": op3_span_dedup,
     "op7_ngram_join": op7_ngram_join,
@@ -76,6 +84,8 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op11_lattice_dedup": op11_lattice_dedup,
+    "op12_spelling": op12_spelling,
+    "op13_collocations": op13_collocations,
 }
 
 OP5_SQL = """
