@@ -82,15 +82,16 @@ def form_like(text: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, up to three letters."""
-    char = lambda k: F.char(F.lit(65) + k)
-    one, two = F.lit(26), F.lit(26 + 26 * 26)
-    second, third = n - one, n - two
-    return (
-        F.when(n < one, char(n))
-        .when(n < two, F.concat(char(F.floor(second / 26)), char(second % 26)))
-        .otherwise(F.concat(char(F.floor(third / 676)), char(F.floor(third / 26) % 26), char(third % 26)))
-    )
+    """0 -> A, 25 -> Z, 26 -> AA, as spreadsheets count: the digits of base 26 without a zero, last one first."""
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("out"))
+
+    def digit(acc: Column, _: Column) -> Column:
+        one = F.pmod(acc["rest"], F.lit(26))
+        more = F.struct((F.call_function("div", acc["rest"], F.lit(26)) - 1).alias("rest"), F.concat(F.char(one + 65), acc["out"]).alias("out"))
+        return F.when(acc["rest"] >= 0, more).otherwise(acc)
+
+    # 14 letters name every long; a number of few letters is soon done with.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda acc: acc["out"])
 
 
 def person_like(name: Column) -> Column:
@@ -202,7 +203,7 @@ def has_all(words: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.array_contains(words, t) for t in terms], F.lit(True))
 
 
-def _query_groups(query: str) -> list[list[tuple[bool, str]]]:
+def query_groups(query: str) -> list[list[tuple[bool, str]]]:
     """Groups that are OR-ed, of (negated, word or phrase) that are AND-ed."""
     groups: list[list[tuple[bool, str]]] = [[]]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
@@ -213,19 +214,24 @@ def _query_groups(query: str) -> list[list[tuple[bool, str]]]:
     return groups
 
 
+def query_words(term: str) -> list[str]:
+    """The words of one term of a query: several if it is a phrase or holds signs."""
+    return [w for w in re.split(r"[^\w]+|_", term) if w]
+
+
 def query_terms(query: str) -> list[str]:
     """The distinct words that a query asks for, without the negated ones."""
-    return list(dict.fromkeys(w for g in _query_groups(query) for negated, term in g if not negated for w in re.split(r"[^\w]+|_", term) if w))
+    return list(dict.fromkeys(w for g in query_groups(query) for negated, term in g if not negated for w in query_words(term)))
 
 
 def parse_query(query: str) -> Callable[[Column, Column], Column]:
     """A predicate of (tokens, lower-cased text): words are AND, "or" is OR, -word is NOT, quotes are phrases."""
-    groups = _query_groups(query)
+    groups = query_groups(query)
 
     def test(words: Column, text: Column) -> Column:
         def one(negated: bool, term: str) -> Column:
-            parts = [w for w in re.split(r"[^\w]+|_", term) if w]
-            hit = has_all(words, parts) if len(parts) < 2 else F.contains(F.array_join(words, " "), F.lit(" ".join(parts)))
+            parts = query_words(term)
+            hit = has_all(words, parts) if len(parts) < 2 else F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(parts)} "))
             return ~hit if negated else hit
 
         return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [one(*t) for t in g], F.lit(True)) for g in groups if g], F.lit(False))

@@ -113,7 +113,7 @@ def packed(text: Column, paragraph: str = r"\n{2,}", limit: int = rules.CHUNK_CH
     paragraphs = F.filter(F.split(text, paragraph, -1), lambda p: p.rlike(r"(?U)\S"))
 
     def broken(p: Column) -> Column:
-        return let(F.split(p, rules.SENTENCE_GAP, -1), lambda s: F.when(F.size(s) > 1, pack(s, " ", limit)).otherwise(pack(F.split(p, r"(?U)\s+", -1), " ", limit)))
+        return let(F.split(p, rules.SENTENCE_GAP, -1), lambda s: F.when(F.size(s) > 1, pack(s, " ", limit)).otherwise(pack(F.split(p, " ", -1), " ", limit)))
 
     # A long paragraph ends the open group, so runs of short ones are packed between long ones.
     start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit("").alias("cur"), F.lit(False).alias("open"))
@@ -180,30 +180,32 @@ def column_gap(words: DataFrame, key: str, width: str = "largura") -> DataFrame:
 
     Words have x0 and x1. The widest gap between neighbouring centres counts if
     its middle lies in 30-70 % of the width, it is 4 % wide, and 15 of 30 words
-    stand on either side.
+    stand on either side; of equal gaps the leftmost one.
     """
     centre = words.select(key, width, ((F.col("x0") + F.col("x1")) / 2).alias("c"))
     order = Window.partitionBy(key).orderBy("c")
     gaps = centre.withColumns({"prev": F.lag("c").over(order), "left": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(key))})
     gaps = gaps.withColumns({"gap": F.col("c") - F.col("prev"), "mid": (F.col("c") + F.col("prev")) / 2})
     fit = gaps.filter((F.col("n") >= 30) & F.col("mid").between(0.3 * F.col(width), 0.7 * F.col(width)) & (F.col("gap") >= 0.04 * F.col(width)))
-    best = fit.groupBy(key).agg(F.max_by(F.struct("mid", "left", "n"), F.struct("gap", "mid")).alias("b"))
+    best = fit.groupBy(key).agg(F.max_by(F.struct("mid", "left", "n"), F.struct(F.col("gap"), -F.col("mid"))).alias("b"))
     return best.filter((F.col("b.left") >= 15) & (F.col("b.n") - F.col("b.left") >= 15)).select(key, F.col("b.mid").alias("corte"))
 
 
 def column_lines(words: DataFrame, key: str) -> DataFrame:
     """(key, linha, texto): words of a column grouped into lines by nearness to the word before."""
     order = Window.partitionBy(key).orderBy("top", "x0")
-    tolerance = 0.6 * F.avg(F.col("bottom") - F.col("top")).over(Window.partitionBy(key))
+    height = F.avg(F.col("bottom") - F.col("top")).over(Window.partitionBy(key))
+    tolerance = F.when(height == 0, 1.0).otherwise(0.6 * height)
     new = F.coalesce((F.abs(F.col("top") - F.lag("top").over(order)) > tolerance).cast("int"), F.lit(1))
     lined = words.withColumn("__new", new).withColumn("linha", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return lined.groupBy(key, "linha").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("texto"))
 
 
 def column_text(words: DataFrame, key: str, width: str = "largura") -> DataFrame:
-    """(key, colunas, texto): words put back into lines, the left column before the right one where a page has two."""
+    """(key, colunas, texto): words put back into lines; where a page has two columns the left one comes first, then a blank line."""
     cut = column_gap(words, key, width)
-    placed = words.join(cut, key, "left").withColumn("coluna", F.coalesce(((F.col("x0") + F.col("x1")) / 2 > F.col("corte")).cast("int"), F.lit(0)))
+    placed = words.join(cut, key, "left").withColumn("coluna", F.coalesce(((F.col("x0") + F.col("x1")) / 2 >= F.col("corte")).cast("int"), F.lit(0)))
     lines = column_lines(placed.withColumn("__page", F.struct(key, "coluna")), "__page").select(f"__page.{key}", "__page.coluna", "linha", "texto")
-    ordered = F.array_sort(F.collect_list(F.struct("coluna", "linha", "texto")))
-    return lines.groupBy(key).agg((F.max("coluna") + 1).alias("colunas"), F.array_join(F.transform(ordered, lambda l: l["texto"]), "\n").alias("texto"))
+    joined = lambda p: F.array_join(F.transform(F.array_sort(p), lambda l: l["texto"]), "\n")
+    columns = lines.groupBy(key, "coluna").agg(joined(F.collect_list(F.struct("linha", "texto"))).alias("texto"))
+    return columns.groupBy(key).agg((F.max("coluna") + 1).alias("colunas"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("coluna", "texto"))), lambda c: c["texto"]), "\n\n").alias("texto"))

@@ -93,5 +93,5 @@ def resolve(query: str, index: DataFrame, shortest: int = 4) -> DataFrame:
 
 
 def audit_rows(results: DataFrame, index: DataFrame, key: str, user: str) -> DataFrame:
-    """One row per result and entity of its document, for the caller to append once."""
-    return results.join(index, key).select(key, "pseudonimo", "valor", F.lit(user).alias("perfil"))
+    """One row per result and entity of its document, for the caller to append once: pseudonyms only, never what they stand for."""
+    return results.join(index, key).select(key, "pseudonimo", F.lit(user).alias("perfil"))

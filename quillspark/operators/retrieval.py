@@ -95,20 +95,21 @@ def leg(scored: DataFrame, key: str, k: int, named: DataFrame | None = None) ->
     return merge_extra_hits(hits, extra, key, k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, leg_limit: int = rules.LEG_LIMIT, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None) -> DataFrame:
-    lexical = ranked(leg(bm25(docs, terms, test=test), "doc_id", leg_limit, lex_named), "doc_id", "lex")
+def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, leg_limit: int = rules.LEG_LIMIT, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """Fused top of both legs. ``scored`` (doc_id, score), as a stored index gives it, stands for the scan of ``docs``."""
+    lexical = ranked(leg(bm25(docs, terms, test=test) if scored is None else scored, "doc_id", leg_limit, lex_named), "doc_id", "lex")
     vector = ranked(leg(vector_scores(vectors, query), "vec_id", leg_limit, vec_named), "vec_id", "vec")
     return fused_top(fuse(lexical, vector), limit)
 
 
-def search(mode: str, docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None) -> DataFrame:
+def search(mode: str, docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """Mode dispatch: lexico, vetorial or hibrido."""
     if mode == "lexico":
-        return leg(bm25(docs, terms, test=test), "doc_id", limit, lex_named)
+        return leg(bm25(docs, terms, test=test) if scored is None else scored, "doc_id", limit, lex_named)
     if mode == "vetorial":
         return leg(vector_scores(vectors, query), "vec_id", limit, vec_named)
     if mode == "hibrido":
-        return hybrid(docs, vectors, terms, query, limit, test=test, lex_named=lex_named, vec_named=vec_named)
+        return hybrid(docs, vectors, terms, query, limit, test=test, lex_named=lex_named, vec_named=vec_named, scored=scored)
     raise ValueError(f"unknown mode: {mode}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,9 +17,11 @@ from quillspark.operators import evaluation as E
 from quillspark.operators import masking as M
 from quillspark.operators import retrieval as R
 from quillspark.operators import store as S
+from quillspark.operators import vector_index as V
+from quillspark.operators.text_index import TextIndex
 from quillspark.plans import engine
 from quillspark.plans.ingest import method_report as page_methods
-from quillspark.session import table
+from quillspark.session import shared_dir, table
 from quillspark.sources import readers
 
 TERMS = ["thing", "hand", "erth"]
@@ -37,6 +40,16 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index over ``documents``, built once per application and folder."""
+    known = spark.sparkContext.__dict__.setdefault("_quillspark_indexes", {})
+    if sf_dir not in known:
+        made = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+        made.append(table(spark, sf_dir, "documents"))
+        known[sf_dir] = made
+    return known[sf_dir]
+
+
 def probe_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The query vector of the vector queries: the embedding of the smallest id."""
     row = table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").first()
@@ -60,7 +73,8 @@ f AS (SELECT coalesce(l.id, x.id) AS id, lex_pos, vec_pos, round(coalesce(1.0::D
 
 @query(RRF_SQL + " SELECT id, lex_pos::INT AS lex_pos, vec_pos::INT AS vec_pos, rrf_score FROM f ORDER BY rrf_score DESC, lex_pos NULLS LAST, vec_pos NULLS LAST, id LIMIT 10")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), TERMS, probe_vector(spark, sf_dir), 10).select("id", "lex_pos", "vec_pos", "rrf_score")
+    docs, scored = table(spark, sf_dir, "documents"), text_index(spark, sf_dir).scores(TERMS, k=rules.LEG_LIMIT)
+    return R.hybrid(docs, table(spark, sf_dir, "embeddings"), TERMS, probe_vector(spark, sf_dir), 10, scored=scored).select("id", "lex_pos", "vec_pos", "rrf_score")
 
 
 @query(RRF_SQL + " SELECT id, array_to_string(list_filter([CASE WHEN lex_pos IS NOT NULL THEN 'lexical' END, CASE WHEN vec_pos IS NOT NULL THEN 'vetorial' END], lambda z: z IS NOT NULL), ',') AS encontrado_em FROM f")
@@ -70,7 +84,35 @@ def rrf_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 30")
 def lexical_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(R.bm25(table(spark, sf_dir, "documents"), TERMS), 30, "doc_id")
+    return R.top_k(text_index(spark, sf_dir).scores(TERMS, k=30), 30, "doc_id")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_occurrences FROM t GROUP BY term")
+def index_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index(spark, sf_dir).vocabulary()
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, score FROM b WHERE doc_id IN (SELECT doc_id FROM c WHERE tf0 > 0 AND tf1 > 0)")
+def index_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two of the words, by an index that grew by three appends and a merge; the third word counts if it is there."""
+    docs = table(spark, sf_dir, "documents")
+    grown = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}", buckets=8)
+    for part in range(3):
+        grown.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part))
+    grown.merge()
+    return grown.scores([], query=f"{TERMS[0]} {TERMS[1]} or {TERMS[0]} {TERMS[1]} {TERMS[2]}")
+
+
+_PHRASE = ["of", "the", "scum"]
+
+
+@query(f"""WITH w AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents),
+c AS (SELECT doc_id, w, len(w)::DOUBLE AS dl, {', '.join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS tf{i}" for i, t in enumerate(_PHRASE))} FROM w),
+s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, {', '.join(f"count(*) FILTER (WHERE tf{i} > 0)::DOUBLE AS df{i}" for i in range(3))} FROM c)
+SELECT doc_id, round({' + '.join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(3))}, 6) AS score FROM c, s
+WHERE (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'idiot')) OR list_contains(w, 'scum')""")
+def index_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_index(spark, sf_dir).scores([], query='"of the" -idiot or scum')
 
 
 @query(f"SELECT doc_id FROM documents WHERE {' AND '.join(f'''list_contains({TOKENS_SQL}, '{t}')''' for t in ['the', 'of', 'this'])}")
@@ -78,7 +120,7 @@ def lexical_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(T.has_all(T.tokens(F.col("text")), ["the", "of", "this"])).select("doc_id")
 
 
-@query(f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT doc_id FROM t WHERE (contains(array_to_string(w, ' '), 'of the') AND NOT list_contains(w, 'idiot')) OR list_contains(w, 'scum')")
+@query(f"WITH t AS (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) SELECT doc_id FROM t WHERE (contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND NOT list_contains(w, 'idiot')) OR list_contains(w, 'scum')")
 def websearch_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = T.parse_query('"of the" -idiot or scum')
     rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"), F.lower("text").alias("l"))
@@ -95,6 +137,30 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(R.vector_scores(table(spark, sf_dir, "embeddings"), probe_vector(spark, sf_dir)), 30, "vec_id")
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated queries: every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
+SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 30""")
+def vector_exact_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.exact_top(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), 30).select("query", "id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+@query()
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, hits, wanted): how many of the true 30 nearest the inverted file finds, three of four lists probed and 300 codes re-scored."""
+    vectors, asked = table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir)
+    model = V.train(vectors)
+    index = V.VectorIndex(spark, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}", model)
+    index.add(vectors)
+    found = index.search(asked, vectors, 30, probe=-(-3 * len(model.centroids) // 4), shortlist=300)
+    truth = V.exact_top(asked, vectors, 30).select("query", "id")
+    hits = truth.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return hits.groupBy("query").agg(F.count("hit").alias("hits"), F.count("*").alias("wanted"))
+
+
 @query(f"WITH {BM25_SQL}, p AS (SELECT b.* FROM b JOIN documents USING (doc_id) WHERE lang = 'en' AND source <> 'src0') SELECT doc_id, score FROM p ORDER BY score DESC, doc_id LIMIT 20")
 def prefiltered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -170,7 +236,7 @@ def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.resolve(f"quem escreveu de {first} ontem", index).select("valor", "pseudonimo")
 
 
-@query(f"WITH x AS ({ENTITY_SQL.strip()}) SELECT d.doc_id, x.pseudonimo, x.valor, 'com_clearance' AS perfil FROM documents d JOIN x ON x.doc_id = d.doc_id WHERE d.lang = 'en'")
+@query(f"WITH x AS ({ENTITY_SQL.strip()}) SELECT d.doc_id, x.pseudonimo, 'com_clearance' AS perfil FROM documents d JOIN x ON x.doc_id = d.doc_id WHERE d.lang = 'en'")
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id")
     return M.audit_rows(shown, _emails(spark, sf_dir), "doc_id", "com_clearance")
@@ -543,10 +609,11 @@ def person_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.person_like(name).alias("pessoa"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id < 26 THEN chr((65 + event_id)::INT) WHEN event_id < 702 THEN chr((64 + event_id // 26)::INT) || chr((65 + event_id % 26)::INT)
-ELSE chr((65 + (event_id - 702) // 676)::INT) || chr((65 + (event_id - 702) // 26 % 26)::INT) || chr((65 + (event_id - 702) % 26)::INT) END AS letras FROM events WHERE event_id < 18278""")
+@query("""WITH RECURSIVE r(event_id, rest, letras) AS (
+  SELECT event_id, event_id, '' FROM events UNION ALL SELECT event_id, rest // 26 - 1, chr((65 + rest % 26)::INT) || letras FROM r WHERE rest >= 0)
+SELECT event_id, letras FROM r WHERE rest < 0""")
 def sheet_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_id < 18278").select("event_id", T.letters(F.col("event_id")).alias("letras"))
+    return table(spark, sf_dir, "events").select("event_id", T.letters(F.col("event_id")).alias("letras"))
 
 
 @query(f"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS ms, regexp_split_to_array(text, '{EMAIL}') AS seg FROM documents)
@@ -608,7 +675,7 @@ def quality_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT l_orderkey % 40 AS pagina, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
 p AS (SELECT pagina, n, n % 2 AS coluna, (n + 1) // 2 AS linha, count(*) OVER (PARTITION BY pagina) AS total FROM w)
-SELECT pagina, 2 AS colunas, md5(string_agg('p' || n, chr(10) ORDER BY 1 - coluna, linha)) AS texto_md5 FROM p WHERE total >= 32 GROUP BY pagina""")
+SELECT pagina, 2 AS colunas, md5(string_agg('p' || n, chr(10) ORDER BY linha) FILTER (WHERE coluna = 1) || chr(10) || chr(10) || string_agg('p' || n, chr(10) ORDER BY linha) FILTER (WHERE coluna = 0)) AS texto_md5 FROM p WHERE total >= 32 GROUP BY pagina""")
 def column_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as words of two-column pages: odd ones left, even ones right, one word a line."""
     order = Window.partitionBy("pagina").orderBy("l_orderkey", "l_linenumber")

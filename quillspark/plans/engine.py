@@ -20,6 +20,7 @@ from quillspark.operators import evaluation as E
 from quillspark.operators import masking as M
 from quillspark.operators import retrieval as R
 from quillspark.operators import store as S
+from quillspark.operators.text_index import TextIndex
 from quillspark.session import materialise
 
 MOST_CASES = 10
@@ -52,11 +53,12 @@ class SearchEngine:
     """Tables: documentos, entidades, chunks (chunk_id, documento_id, texto, eh_padronizado, embedding), criterios, avaliacoes.
 
     ``embed`` makes the vector of a query text; without it the request's vector is used as it is, and for a request
-    without one the text is hashed as ``operators.embedding`` hashes chunks.
+    without one the text is hashed as ``operators.embedding`` hashes chunks. ``index`` over the chunks' texts, by
+    chunk_id, spares the lexical leg its scan; its scores then weigh words by all chunks, not by those that a filter leaves.
     """
 
-    def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame, embed: Callable[[str], list[float]] | None = None, judge: Callable[[DataFrame], DataFrame] = E.keyword_judge):
-        self.embed, self.judge = embed, judge
+    def __init__(self, documentos: DataFrame, entidades: DataFrame, chunks: DataFrame, criterios: DataFrame, avaliacoes: DataFrame, embed: Callable[[str], list[float]] | None = None, judge: Callable[[DataFrame], DataFrame] = E.keyword_judge, index: TextIndex | None = None):
+        self.embed, self.judge, self.index = embed, judge, index
         self.documentos, self.entidades, self.chunks, self.criterios, self.avaliacoes = documentos, entidades, chunks, criterios, avaliacoes
 
     def filtros(self) -> tuple[DataFrame, DataFrame]:
@@ -74,8 +76,12 @@ class SearchEngine:
             embed = self.embed if self.embed is not None or request.vector else self._hashed
             if embed is not None:
                 vector = embed(" ".join([request.consulta, *pseudonyms]))
+        scored = None
+        if self.index is not None and request.modo != "vetorial":
+            # What a filter leaves is known only after scoring, so nothing is cut before it.
+            scored = self.index.scores(terms, "doc_id", query=request.consulta if request.consulta.strip() else None).join(pool.select(F.col("chunk_id").alias("doc_id")), "doc_id", "left_semi")
         # A vector of the enriched text leads to the pseudonyms by itself; one that came with the request cannot.
-        hits = R.search(request.modo, docs, vectors, terms, vector, request.limite, test, named, named if self.embed is None else None)
+        hits = R.search(request.modo, docs, vectors, terms, vector, request.limite, test, named, named if self.embed is None else None, scored)
         if request.modo == "lexico":
             hits = hits.withColumnRenamed("doc_id", "id")
         elif request.modo == "vetorial":
@@ -133,7 +139,9 @@ class SearchEngine:
         return "ok", self._unmasked(text), M.audit_rows(self.documentos.filter(mine).select("documento_id"), known, "documento_id", perfil)
 
     def _unmasked(self, rows: DataFrame) -> DataFrame:
-        lists = self.entidades.groupBy("documento_id").agg(F.array_sort(F.collect_list(F.struct("pseudonimo", "valor"))).alias("__e"))
+        # Only the entities of what is shown are gathered; ``rows`` are few.
+        shown = self.entidades.join(rows.select("documento_id").distinct(), "documento_id", "left_semi")
+        lists = shown.groupBy("documento_id").agg(F.array_sort(F.collect_list(F.struct("pseudonimo", "valor"))).alias("__e"))
         return rows.join(lists, "documento_id", "left").withColumn("texto", F.when(F.col("__e").isNotNull(), M.unmask(F.col("texto"), F.col("__e"))).otherwise(F.col("texto"))).drop("__e")
 
     def padronizados(self) -> DataFrame:

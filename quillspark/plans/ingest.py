@@ -12,6 +12,7 @@ from quillspark.functions import text as T
 from quillspark.operators import documents as D
 from quillspark.operators import masking as M
 from quillspark.operators import store as S
+from quillspark.session import materialise
 
 #: Characters of a document that a describing model sees.
 DESCRIBED_CHARS = 3000
@@ -59,6 +60,8 @@ def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None
     else:
         told = describe(docs.select("documento_id", F.substring("masked", 1, DESCRIBED_CHARS).alias("inicio"))).select("documento_id", F.col("titulo").alias("__titulo"), "sintese")
         docs = docs.join(told, "documento_id", "left").withColumn("titulo", F.coalesce(F.nullif(T.strip(F.col("__titulo")), F.lit("")), readable)).drop("__titulo")
+    # Written once: four outputs come from it, and a model sees each document once.
+    docs = materialise(docs.drop("paginas", "text", "nomes"), "ingested")
     chunks = D.chunk_table(docs, "documento_id", "masked", methods="metodos", versions=versions)
     chunks = D.mark_boilerplate(S.with_key(chunks, "chunk_id", "documento_id", "indice"), "documento_id", "texto")
     entities = docs.select("documento_id", F.explode("entities").alias("e")).select("documento_id", "e.*")
