@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import rules
-from quillspark.functions.text import tokens
+from quillspark.functions.text import sql_double, tokens
 from quillspark.session import materialise
 
 
@@ -52,15 +52,16 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     return joined.select(key, F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))] or [F.lit(0.0)]), 6).alias("score"))
 
 
-def cosine(vector: Column, query: list[float]) -> Column:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / (norm * F.lit(sum(float(x) ** 2 for x in query) ** 0.5))
+def cosine(vector: str, query: list[float]) -> Column:
+    """Cosine of a column of vectors and one vector, in double precision."""
+    q = f"array({', '.join(sql_double(x) for x in query)})"
+    dot = f"aggregate(zip_with({vector}, {q}, (a, b) -> cast(a AS double) * b), 0.0D, (s, x) -> s + x)"
+    norm = f"sqrt(aggregate({vector}, 0.0D, (s, x) -> s + cast(x AS double) * cast(x AS double)))"
+    return F.expr(f"{dot} / ({norm} * {sql_double(sum(float(x) ** 2 for x in query) ** 0.5)})")
 
 
 def vector_scores(rows: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    return rows.filter(F.col(vector).isNotNull()).select(F.col(key), F.round(cosine(F.col(vector), query), 6).alias("score"))
+    return rows.filter(F.col(vector).isNotNull()).select(F.col(key), F.round(cosine(vector, query), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, key: str) -> DataFrame:
@@ -73,11 +74,15 @@ def ranked(leg: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = rules.RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of two numbered legs, with provenance; ties keep lexical order first."""
-    both = lexical.join(vector, "id", "full_outer")
-    share = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
-    found = F.array_compact(F.array(F.when(F.col("lex_pos").isNotNull(), "lexical"), F.when(F.col("vec_pos").isNotNull(), "vetorial")))
-    return both.select("id", "lex_pos", "vec_pos", "lex_score", "vec_score", F.round(share("lex_pos") + share("vec_pos"), 6).alias("rrf_score"), found.alias("encontrado_em"))
+    """Reciprocal rank fusion of two numbered legs, with provenance; ties keep lexical order first.
+
+    Both legs are cut already, a few dozen rows on one partition each, so they are merged there without a shuffle.
+    """
+    legs = lexical.unionByName(vector, allowMissingColumns=True).coalesce(1)
+    both = legs.groupBy("id").agg(*[F.min(c).alias(c) for c in ("lex_pos", "vec_pos")], *[F.max(c).alias(c) for c in ("lex_score", "vec_score")])
+    rrf = f"round(coalesce(1.0D / ({k} + lex_pos), 0.0D) + coalesce(1.0D / ({k} + vec_pos), 0.0D), 6) AS rrf_score"
+    found = "array_compact(array(CASE WHEN lex_pos IS NOT NULL THEN 'lexical' END, CASE WHEN vec_pos IS NOT NULL THEN 'vetorial' END)) AS encontrado_em"
+    return both.selectExpr("id", "lex_pos", "vec_pos", "lex_score", "vec_score", rrf, found)
 
 
 def fused_top(fused: DataFrame, limit: int) -> DataFrame:
@@ -95,7 +100,7 @@ def leg(scored: DataFrame, key: str, k: int, named: DataFrame | None = None) ->
     return merge_extra_hits(hits, extra, key, k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], limit: int, leg_limit: int = rules.LEG_LIMIT, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+def hybrid(docs: DataFrame | None, vectors: DataFrame, terms: list[str], query: list[float], limit: int, leg_limit: int = rules.LEG_LIMIT, test: Callable[[Column, Column], Column] | None = None, lex_named: DataFrame | None = None, vec_named: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """Fused top of both legs. ``scored`` (doc_id, score), as a stored index gives it, stands for the scan of ``docs``."""
     lexical = ranked(leg(bm25(docs, terms, test=test) if scored is None else scored, "doc_id", leg_limit, lex_named), "doc_id", "lex")
     vector = ranked(leg(vector_scores(vectors, query), "vec_id", leg_limit, vec_named), "vec_id", "vec")

@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -264,46 +264,44 @@ class TextIndex:
         if not ranked and not listed:
             return self.spark.createDataFrame([], f"`{key}` {self.key_type}, score double")
         blocks = self.blocks([*needed, *([""] if listed else [])])
-        numbers = blocks.agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("n"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(ranked)] or [F.lit(0).alias("df")])
-        n, mean = F.lit(self.n_docs), F.lit(self.mean_length)
+        # Expressions are SQL text: one call for each, where columns built up piece by piece take hundreds.
+        numbers = blocks.agg(*[F.expr(f"coalesce(sum(CASE WHEN term = {T.sql_string(t)} THEN n END), 0L) AS df{i}") for i, t in enumerate(ranked)] or [F.expr("0 AS df")])
+        mean = T.sql_double(self.mean_length)
 
-        def idf(i: int) -> Column:
-            return F.log(1 + (n - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        def idf(i: int) -> str:
+            return f"ln(1 + ({self.n_docs}L - df{i} + 0.5D) / (df{i} + 0.5D))"
 
-        def share(tf: Column, dl: Column) -> Column:
-            return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+        def share(tf: str, dl: str) -> str:
+            return f"* {tf} * {T.sql_double(k1 + 1)} / ({tf} + {T.sql_double(k1)} * ({T.sql_double(1 - b)} + {T.sql_double(b)} * {dl} / {mean}))"
 
-        def passes() -> Column:
-            has = lambda t: F.col(f"tf{needed.index(t)}") > 0
-
-            def one(negated: bool, ts: list[tuple[int, str]]) -> Column:
-                hit = reduce(lambda x, y: x & y, [has(t) for _, t in ts])
+        def passes() -> str:
+            def one(negated: bool, ts: list[tuple[int, str]]) -> str:
+                hit = " AND ".join(f"tf{needed.index(t)} > 0" for _, t in ts)
                 if len(ts) > 1:
-                    start = ts[0][0]
-                    at = [(i - start, F.coalesce(F.col(f"at{needed.index(t)}"), F.array().cast("array<int>"))) for i, t in ts]
-                    hit = hit & F.exists(at[0][1], lambda p: reduce(lambda x, y: x & y, [F.array_contains(a, p + j) for j, a in at[1:]]))
-                return ~hit if negated else hit
+                    start, first = ts[0]
+                    behind = " AND ".join(f"array_contains(coalesce(at{needed.index(t)}, array()), p + {i - start})" for i, t in ts[1:])
+                    hit = f"{hit} AND exists(coalesce(at{needed.index(first)}, array()), p -> {behind})"
+                return f"NOT ({hit})" if negated else hit
 
             if query is None:
-                return reduce((lambda x, y: x & y) if all_terms else (lambda x, y: x | y), [has(t) for t in ranked])
-            return reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [one(*t) for t in g]) for g in groups])
+                return (" AND " if all_terms else " OR ").join(f"tf{i} > 0" for i in range(len(ranked)))
+            return " OR ".join("(" + " AND ".join(one(*t) for t in g) + ")" for g in groups)
 
         def scored(rows: DataFrame) -> DataFrame:
-            p = rows.select("segment", "window", "term", F.explode(F.arrays_zip("docs", "keys", "tfs", "dls", *(["places"] if phrases else []))).alias("p"))
-            count = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("p.tfs"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(needed)]
-            where = [F.max(F.when(F.col("term") == t, F.col("p.places"))).alias(f"at{i}") for i, t in enumerate(needed) if t in phrases]
-            each = p.groupBy("segment", "window", F.col("p.docs").alias("doc")).agg(F.max("p.keys").alias("key"), F.max("p.dls").alias("dl"), *count, *where).filter(passes())
-            each = each.join(F.broadcast(numbers))  # one row
-            total = reduce(lambda x, y: x + y, [idf(i) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / mean)) for i in range(len(ranked))] or [F.lit(0.0)])
-            return each.select(F.col("key").alias(key), F.round(total, 6).alias("score"))
+            zipped = "docs, keys, tfs, dls" + (", places" if phrases else "")
+            p = rows.selectExpr("segment", "window", "term", f"explode(arrays_zip({zipped})) AS p")
+            count = [f"coalesce(max(CASE WHEN term = {T.sql_string(t)} THEN p.tfs END), 0) AS tf{i}" for i, t in enumerate(needed)]
+            where = [f"max(CASE WHEN term = {T.sql_string(t)} THEN p.places END) AS at{i}" for i, t in enumerate(needed) if t in phrases]
+            each = p.groupBy("segment", "window", "p.docs").agg(*[F.expr(x) for x in ("max(p.keys) AS key", "max(p.dls) AS dl", *count, *where)]).filter(passes())
+            total = " + ".join(idf(i) + share(f"tf{i}", "dl") for i in range(len(ranked))) or "0.0D"
+            return each.join(F.broadcast(numbers)).selectExpr(f"key AS `{key}`", f"round({total}, 6) AS score")  # numbers is one row
 
         if k is None or listed or sum(r.windows for r in self.live) <= PROBE:
             return scored(blocks)
-        index = F.array_position(F.array(*[F.lit(t) for t in ranked]), F.col("term"))
-        weight = F.get(F.array(*[idf(i) for i in range(len(ranked))]), (index - 1).cast("int"))
-        most = F.array_max(F.transform(F.arrays_zip("top_tf", "top_dl"), lambda x: share(x["top_tf"], x["top_dl"])))
-        bounds = blocks.filter(F.col("term").isin(ranked)).select("segment", "window", "term", most.alias("most")).join(F.broadcast(numbers))
-        bounds = bounds.groupBy("segment", "window").agg((F.sum(weight * F.col("most")) + ROUNDING).alias("bound"))
+        weight = "CASE term " + " ".join(f"WHEN {T.sql_string(t)} THEN {idf(i)}" for i, t in enumerate(ranked)) + " END"
+        most = f"array_max(transform(arrays_zip(top_tf, top_dl), x -> 1.0D {share('x.top_tf', 'x.top_dl')}))"
+        bounds = blocks.filter(F.col("term").isin(ranked)).selectExpr("segment", "window", "term", f"{most} AS most").join(F.broadcast(numbers))
+        bounds = bounds.groupBy("segment", "window").agg(F.expr(f"sum({weight} * most) + {T.sql_double(ROUNDING)} AS bound"))
         first = bounds.orderBy(F.desc("bound"), "segment", "window").limit(PROBE)
         kth = scored(blocks.join(F.broadcast(first), ["segment", "window"], "left_semi")).orderBy(F.desc("score")).limit(k).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         worth = bounds.join(F.broadcast(kth)).filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).select("segment", "window")

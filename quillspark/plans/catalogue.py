@@ -73,8 +73,8 @@ f AS (SELECT coalesce(l.id, x.id) AS id, lex_pos, vec_pos, round(coalesce(1.0::D
 
 @query(RRF_SQL + " SELECT id, lex_pos::INT AS lex_pos, vec_pos::INT AS vec_pos, rrf_score FROM f ORDER BY rrf_score DESC, lex_pos NULLS LAST, vec_pos NULLS LAST, id LIMIT 10")
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scored = table(spark, sf_dir, "documents"), text_index(spark, sf_dir).scores(TERMS, k=rules.LEG_LIMIT)
-    return R.hybrid(docs, table(spark, sf_dir, "embeddings"), TERMS, probe_vector(spark, sf_dir), 10, scored=scored).select("id", "lex_pos", "vec_pos", "rrf_score")
+    scored = text_index(spark, sf_dir).scores(TERMS, k=rules.LEG_LIMIT)
+    return R.hybrid(None, table(spark, sf_dir, "embeddings"), TERMS, probe_vector(spark, sf_dir), 10, scored=scored).select("id", "lex_pos", "vec_pos", "rrf_score")
 
 
 @query(RRF_SQL + " SELECT id, array_to_string(list_filter([CASE WHEN lex_pos IS NOT NULL THEN 'lexical' END, CASE WHEN vec_pos IS NOT NULL THEN 'vetorial' END], lambda z: z IS NOT NULL), ',') AS encontrado_em FROM f")

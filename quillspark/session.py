@@ -97,13 +97,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the fixture tables, as Spark reads it (any file system).
+    """One of the fixture tables, as Spark reads it (any file system); a folder's schema is read once per session.
 
     Texts in fewer files than there are cores are dealt out to all of them, since
     a file of one row group is read by one task.
     """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and len(rows.inputFiles()) < min(cores, 4):
-        return rows.repartition(cores)
-    return rows
+    known = spark.__dict__.setdefault("_quillspark_tables", {})
+    if (sf_dir, name) not in known:
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        known[sf_dir, name] = rows.repartition(cores) if name in TEXTS and len(rows.inputFiles()) < min(cores, 4) else rows
+    return known[sf_dir, name]
