@@ -50,8 +50,8 @@ class Mining:
     covered_pct: int = 80
     top: int = 2000
     scale: int = 2_000_000
-    shard_words: int = 1_500_000
-    range_bytes: int = 16 << 20
+    shard_words: int = 1_000_000
+    range_bytes: int = 8 << 20
     sample: int = 20_000
     sample_docs: int = 4_000
 
