@@ -14,6 +14,7 @@ from quillspark.functions import rules
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
 from quillspark.operators import evaluation as E
+from quillspark.operators import gazetteer
 from quillspark.operators import masking as M
 from quillspark.operators import retrieval as R
 from quillspark.operators import store as S
@@ -23,6 +24,7 @@ from quillspark.plans import engine
 from quillspark.plans.ingest import method_report as page_methods
 from quillspark.session import shared_dir, table
 from quillspark.sources import readers
+from quillspark.sources.snapshots import SnapshotStore
 
 TERMS = ["thing", "hand", "erth"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -247,6 +249,40 @@ def normalised_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(T.chunk_hash(F.col("text")).alias("hash_normalizado")).agg(F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 11 <> 0")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers appended, inserted if absent, changed and deleted, in four versions of a store."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    store, key = SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"), ["c_custkey"]
+    steps = [
+        lambda t: t.append("clientes", rows.filter("c_custkey % 10 <> 0"), key),
+        lambda t: t.insert_if_absent("clientes", rows, key),
+        lambda t: t.upsert("clientes", rows.filter("c_custkey % 7 = 0").withColumn("c_mktsegment", F.lit("MOVED")), key),
+        lambda t: t.delete("clientes", rows.filter("c_custkey % 11 = 0"), key),
+    ]
+    for step in steps:
+        change = store.transaction()
+        step(change)
+        change.commit()
+    return store.read("clientes")
+
+
+_NAMED = r"^\p{L}+ \p{L}+"
+
+
+@query(rf"""WITH n AS (SELECT DISTINCT lower(regexp_extract(text, '{_NAMED}')) AS nome FROM benchmark WHERE regexp_matches(text, '{_NAMED}')),
+d AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(regexp_replace(lower(text), '\s+', ' ', 'g'), '\p{{L}}+|[^\p{{L}} ]+'), ' ') || ' ' AS l, regexp_replace(lower(text), '\s+', ' ', 'g') AS s FROM documents),
+c AS MATERIALIZED (SELECT doc_id, nome, s FROM d, n WHERE contains(l, ' ' || nome || ' '))
+SELECT doc_id, nome FROM c WHERE regexp_matches(s, '(^|[^\p{{L}}])' || nome || '([^\p{{L}}]|$)')""")
+def gazetteer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each benchmark text as names, found in all documents in any case."""
+    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", f"({_NAMED})", 1).alias("valor"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = gazetteer.name_spans(docs, names, "doc_id").join(docs, "doc_id").select("doc_id", "text", F.explode("spans").alias("s"))
+    found = F.lower(T.squeeze(F.substr("text", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))))
+    return spans.select("doc_id", found.alias("nome")).distinct()
+
+
 BOILER_SQL = r"WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS linha FROM documents), f AS (SELECT linha, lower(trim(regexp_replace(linha, '\s+', ' ', 'g'))) AS k, doc_id FROM l WHERE len(linha) >= 80), g AS (SELECT k, count(DISTINCT doc_id) AS docs FROM f GROUP BY k)"
 
 

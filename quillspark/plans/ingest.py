@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
+from quillspark.operators import gazetteer
 from quillspark.operators import masking as M
 from quillspark.operators import store as S
 from quillspark.session import materialise
+from quillspark.sources.snapshots import SnapshotStore
 
 #: Characters of a document that a describing model sees.
 DESCRIBED_CHARS = 3000
@@ -26,10 +28,11 @@ class Ingested:
     quarentena: DataFrame
 
 
-def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None = None, versions: dict[str, str] | None = None, tagger: Callable[[DataFrame], DataFrame] | None = None, describe: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
+def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None = None, versions: dict[str, str] | None = None, tagger: Callable[[DataFrame], DataFrame] | None = None, describe: Callable[[DataFrame], DataFrame] | None = None, known_names: DataFrame | None = None) -> Ingested:
     """``pages``: arquivo_local, pagina, native, ocr, tables. ``manifest``: one row per file. ``versions``: by extraction method.
 
-    ``tagger`` adds a column ``nomes`` of names to (hash_sha256, text); ``describe`` adds ``titulo`` and ``sintese`` to
+    ``known_names`` (valor) are names that the store has seen; with those in capitals of this run they are found in
+    any case, unless another ``tagger`` is given. ``tagger`` adds a column ``nomes`` of names to (hash_sha256, text); ``describe`` adds ``titulo`` and ``sintese`` to
     (documento_id, inicio), the masked beginning of each document; a missing title becomes the readable name.
 
     Quarantined files stop at the classifier; contents already known (or met
@@ -47,6 +50,10 @@ def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None
     whole = whole.groupBy("hash_sha256").agg(F.min_by(F.struct("arquivo_local", "num_paginas", "metodos", "text"), "arquivo_local").alias("d")).select("hash_sha256", "d.*")
     if known_hashes is not None:
         whole = whole.join(known_hashes.select("hash_sha256"), "hash_sha256", "left_anti")
+    if tagger is None and known_names is not None:
+        # Read once more by the tagger and the masks.
+        whole = materialise(whole, "whole")
+        tagger = gazetteer.tagger(known_names.select("valor").unionByName(gazetteer.upper_names(whole)))
     if tagger is not None:
         whole = whole.join(tagger(whole.select("hash_sha256", "text")).select("hash_sha256", "nomes"), "hash_sha256", "left")
     masked = M.mask(whole, tagged="nomes" if tagger is not None else None).join(D.main_method(good, "arquivo_local"), "arquivo_local").join(manifest, "arquivo_local", "left")
@@ -69,6 +76,16 @@ def ingest(pages: DataFrame, manifest: DataFrame, known_hashes: DataFrame | None
     return Ingested(docs.select(*kept), entities, chunks, bad)
 
 
+def save(made: Ingested, store: SnapshotStore) -> int:
+    """Put all four outputs into the tables of ``store`` with one commit; files and contents that are there stay as they are."""
+    change = store.transaction()
+    change.insert_if_absent("documentos", made.documentos, ["hash_sha256"])
+    change.insert_if_absent("quarentena", made.quarentena, ["arquivo_local"])
+    change.insert_if_absent("entidades", made.entidades, ["documento_id", "categoria", "pseudonimo"])
+    change.insert_if_absent("chunks", made.chunks, ["chunk_id"])
+    return change.commit()
+
+
 def method_report(pages: DataFrame) -> DataFrame:
     """Pages per extraction method, with their share in percent."""
     counts = pages.groupBy("metodo").agg(F.count("*").alias("paginas"))
