@@ -41,6 +41,8 @@ from quillspark.functions import text as T
 from quillspark.session import ship_code
 
 WINDOW = 1024
+#: Places by posting, from the counts and the places of a block: ``starts`` are sums of the counts before.
+PLACES = "transform(aggregate(tfs, named_struct('next', 0, 'all', cast(array() AS array<int>)), (a, n) -> named_struct('next', a.next + n, 'all', a.all || array(a.next)), a -> a.all), (s, i) -> slice(places, s + 1, tfs[i]))"
 #: Windows that a top-k query scores to find out which others can matter.
 PROBE = 32
 #: Bucket of the blocks that list the documents themselves, under the empty term.
@@ -48,6 +50,8 @@ DOCUMENTS = -1
 #: Stands for scores that are rounded up.
 ROUNDING = 1e-6
 
+PACKED = "bucket int, blob binary"
+
 Analyser = Callable[[list[str]], list[str | None]]
 
 
@@ -92,9 +96,10 @@ def _window_blocks(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None
     row, own = np.divmod(pairs, max(1, len(lengths)))
     n = len(known)
     everyone = np.arange(len(lengths))
-    # The last row is that of the documents: each once, of count 0, at no place.
+    # The last row is that of the documents: each once, of count 0, at no place. Places of a row stand one after another.
+    lengths_of = np.bincount(row, tf, n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
+    places = _int_lists(place[order], np.append(np.cumsum(lengths_of), len(order)))
     row, own, tf = np.concatenate([row, np.full(len(everyone), n)]), np.concatenate([own, everyone]), np.concatenate([tf, np.zeros(len(everyone), np.int64)])
-    places = _int_lists(place[order], np.concatenate([np.cumsum(tf[: len(pairs)]), np.full(len(everyone), len(order))]))
     best = _frontier(row, tf, dl[own])
     ends = _ends(row, n + 1)
     size = np.bincount(row, minlength=n + 1)
@@ -109,11 +114,33 @@ def _window_blocks(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None
         "keys": _lists(keys.take(pa.array(own)), ends),
         "tfs": _int_lists(tf, ends),
         "dls": _int_lists(dl[own], ends),
-        "places": _lists(places, ends),
+        "places": places,
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def packed(blocks: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """(bucket, blob): the blocks of each bucket as one compressed Arrow stream, since most have few postings and would be small rows."""
+    at = np.array([zlib.crc32(t.encode()) % buckets if t else DOCUMENTS for t in blocks.column("term").to_pylist()], np.int32)
+    order = np.argsort(at, kind="stable")
+    blocks, at = blocks.take(pa.array(order)), at[order]
+    names, starts = np.unique(at, return_index=True)
+    blobs = []
+    for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches([blocks.slice(a, b - a)]).combine_chunks())
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part in pa.ipc.open_stream(blob):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, bucket, np.int32)), *part.columns], ["bucket", *part.schema.names])
+
+
 class TextIndex:
     """An index in a folder. ``analyser`` maps the distinct words of a window to terms, or None for words to leave out; the same one must be given again when the index is opened."""
 
@@ -124,7 +151,7 @@ class TextIndex:
 
     @property
     def schema(self) -> str:
-        return f"term string, window bigint, n int, total bigint, top_tf array<int>, top_dl array<int>, docs array<int>, keys array<{self.key_type}>, tfs array<int>, dls array<int>, places array<array<int>>"
+        return f"term string, window bigint, n int, total bigint, top_tf array<int>, top_dl array<int>, docs array<int>, keys array<{self.key_type}>, tfs array<int>, dls array<int>, places array<int>"
 
     def refresh(self) -> None:
         """Read the commit rows: which segments are live, and their sums."""
@@ -149,7 +176,7 @@ class TextIndex:
     def append(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Index ``docs`` as a new segment."""
         ship_code(self.spark)
-        analyse, kind = self.analyser, self.key_type
+        analyse, kind, buckets = self.analyser, self.key_type, self.buckets
 
         def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -161,7 +188,7 @@ class TextIndex:
                 start = 0
                 while whole is not None and whole.num_rows - start >= most and start < whole.num_rows:
                     part = whole.slice(start, WINDOW).combine_chunks()
-                    yield _window_blocks(part.column(0).combine_chunks(), part.column(1).combine_chunks(), analyse, window)
+                    yield packed(_window_blocks(part.column(0).combine_chunks(), part.column(1).combine_chunks(), analyse, window), buckets)
                     window, start = window + 1, start + WINDOW
                 held = whole.slice(start).to_batches() if whole is not None else []
 
@@ -171,19 +198,19 @@ class TextIndex:
                     yield from flushed(WINDOW)
             yield from flushed(1)
 
-        blocks = docs.select(F.col(key).cast(kind).alias("key"), T.tokens(F.col(text)).alias("words")).mapInArrow(body, self.schema)
+        blocks = docs.select(F.col(key).cast(kind).alias("key"), T.tokens(F.col(text)).alias("words")).mapInArrow(body, PACKED)
         self._write(blocks, [])
 
     def _write(self, blocks: DataFrame, replaces: list[str]) -> None:
         segment = uuid.uuid4().hex
         folder = f"{self.path}/segments/{segment}"
-        # Every bucket gets a row without a term, so that every folder is there to be read.
-        marks = self.spark.range(-1, self.buckets).select(F.col("id").cast("int").alias("bucket"))
-        placed = blocks.withColumn("bucket", F.when(F.col("term") == "", DOCUMENTS).otherwise(F.crc32("term") % self.buckets).cast("int")).unionByName(marks, allowMissingColumns=True)
         # A term that most documents have has a block in every window: ``files`` spreads its bucket over so many tasks.
-        spread = [F.pmod(F.xxhash64("window"), F.lit(self.files))] if self.files > 1 else []
+        spread = [F.pmod(F.xxhash64("blob"), F.lit(self.files))] if self.files > 1 else []
         tasks = (self.buckets + 1) * self.files
-        placed.repartition(tasks, "bucket", *spread).sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
+        placed = blocks.repartition(tasks, "bucket", *spread).mapInArrow(unpacked, f"bucket int, {self.schema}")
+        # Every bucket gets a row without a term, so that every folder is there to be read.
+        marks = self.spark.range(-1, self.buckets, numPartitions=1).select(F.col("id").cast("int").alias("bucket"))
+        placed.unionByName(marks, allowMissingColumns=True).sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
         documents = self.spark.read.schema(self.schema).parquet(f"{folder}/bucket={DOCUMENTS}").filter("term = ''")
         row = documents.agg(F.lit(segment).alias("segment"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("windows"), F.array(*[F.lit(s) for s in replaces]).cast("array<string>").alias("replaces"))
         row.coalesce(1).write.parquet(f"{self.path}/commits/{segment}")
@@ -205,9 +232,12 @@ class TextIndex:
         before = Window.partitionBy("into").orderBy("segment", "window").rowsBetween(Window.unboundedPreceding, -1)
         placed = placed.select("segment", "window", "into", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("offset"))
         moved = rows.join(placed, ["segment", "window"]).withColumn("docs", F.transform("docs", lambda d: d + F.col("offset")))
-        fields = ("docs", "keys", "tfs", "dls", "places")
+        fields = ("docs", "keys", "tfs", "dls", "at")
+        moved = moved.withColumn("at", F.expr(PLACES))
         gathered = moved.groupBy("term", F.col("into").alias("window")).agg(F.sum("n").cast("int").alias("n"), F.sum("total").alias("total"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*fields)))).alias("p"))
-        flat = gathered.select("term", "window", "n", "total", *[F.col(f"p.{f}").alias(f) for f in fields])
+        flat = gathered.select("term", "window", "n", "total", *[F.col(f"p.{f}").alias(f) for f in fields[:4]], F.flatten("p.at").alias("places"))
+
+        buckets = self.buckets
 
         def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -216,9 +246,9 @@ class TextIndex:
                 best = _frontier(row, tf, dl)
                 ends = _ends(row[best], batch.num_rows)
                 made = {**{c: batch.column(c) for c in ("term", "window", "n", "total")}, "top_tf": _int_lists(tf[best], ends), "top_dl": _int_lists(dl[best], ends), **{c: batch.column(c) for c in ("docs", "keys", "tfs", "dls", "places")}}
-                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+                yield packed(pa.RecordBatch.from_arrays(list(made.values()), list(made)), buckets)
 
-        self._write(flat.mapInArrow(bounded, self.schema), [r.segment for r in old])
+        self._write(flat.mapInArrow(bounded, PACKED), [r.segment for r in old])
 
     def blocks(self, terms: list[str]) -> DataFrame:
         """Blocks of ``terms``, from their buckets alone."""
@@ -288,10 +318,11 @@ class TextIndex:
             return " OR ".join("(" + " AND ".join(one(*t) for t in g) + ")" for g in groups)
 
         def scored(rows: DataFrame) -> DataFrame:
-            zipped = "docs, keys, tfs, dls" + (", places" if phrases else "")
+            zipped = "docs, keys, tfs, dls" + (", at" if phrases else "")
+            rows = rows.withColumn("at", F.expr(PLACES)) if phrases else rows
             p = rows.selectExpr("segment", "window", "term", f"explode(arrays_zip({zipped})) AS p")
             count = [f"coalesce(max(CASE WHEN term = {T.sql_string(t)} THEN p.tfs END), 0) AS tf{i}" for i, t in enumerate(needed)]
-            where = [f"max(CASE WHEN term = {T.sql_string(t)} THEN p.places END) AS at{i}" for i, t in enumerate(needed) if t in phrases]
+            where = [f"max(CASE WHEN term = {T.sql_string(t)} THEN p.at END) AS at{i}" for i, t in enumerate(needed) if t in phrases]
             each = p.groupBy("segment", "window", "p.docs").agg(*[F.expr(x) for x in ("max(p.keys) AS key", "max(p.dls) AS dl", *count, *where)]).filter(passes())
             total = " + ".join(idf(i) + share(f"tf{i}", "dl") for i in range(len(ranked))) or "0.0D"
             return each.join(F.broadcast(numbers)).selectExpr(f"key AS `{key}`", f"round({total}, 6) AS score")  # numbers is one row
