@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept. All but the last return the columns of ``documents``; the last returns
 one row of token digests per row of the mixture. Between stages the rows are
 written as Parquet to the shared folder and read again.
+
+Defined results. A null text is an empty one: it scores as a text without words,
+equals other empty texts, links with nothing, counts no words in the mixture and
+has no tokens. Rows without an id are judged by their text alone; they stay in
+the n-gram join. Rows equal in id and text are one after exact dedup. A null source
+is a source of its own. Empty tables go through all stages. Other columns travel along
+unchanged; names that begin with two underscores are taken for helpers.
 """
 
 from __future__ import annotations
@@ -32,7 +39,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id are kept only if no other row has their text.
     """
     decided = materialise(exact_dedup.dedup(docs, exact_dedup.halves(docs)), "decided")
-    key = lambda i, sha: F.xxhash64(i, sha)
+    # The id and the whole digest: rows are dropped by what they are, not by a hash of it.
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), sha)
     out = idmap.without(docs, key(F.col("doc_id").cast("long"), F.sha2(exact_dedup.normalised(F.col("text")), 256)), decided.filter("NOT kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key")))
     again = decided.groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id")
     if again.isEmpty():

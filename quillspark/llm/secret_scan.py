@@ -125,8 +125,11 @@ class Scanner:
         found.sort()
         if len(data) == len(text):
             return [(a, self.rules[k].kind, b) for a, k, b in found]
-        points = lambda n: len(data[:n].decode("utf-8", "surrogatepass"))
-        return [(points(a), self.rules[k].kind, points(b)) for a, k, b in found]
+        points, last, so_far = {}, 0, 0
+        for n in sorted({n for a, _, b in found for n in (a, b)}):  # each byte is decoded once
+            so_far += len(data[last:n].decode("utf-8", "surrogatepass"))
+            points[n], last = so_far, n
+        return [(points[a], self.rules[k].kind, points[b]) for a, k, b in found]
 
 
 def find_spans(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

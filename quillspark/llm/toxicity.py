@@ -141,6 +141,14 @@ def segmented(letters: str, model: CharModel) -> list[str]:
     return _read(min(((cost - model.logp(pair, EDGE), chain) for pair, (cost, chain) in states.items()), key=lambda s: s[0])[1]).split()
 
 
+def undressed(token: str) -> str:
+    """Without the run of one sign at its end, if it is one of two or more."""
+    if token and not (token[-1].isalnum() or token[-1] == "_"):
+        rest = token.rstrip(token[-1])
+        return rest if len(token) - len(rest) > 1 else token
+    return token
+
+
 def lattice_worthy(token: str) -> bool:
     return 3 <= len(token) <= LONGEST and (MIXED.search(token) is not None or REPEATS.search(token) is not None)
 
@@ -158,7 +166,7 @@ class Reader:
             return bare if len(bare) <= LONGEST else ""
         # Signs inside or before letters may be letters; a run behind them is dressing.
         core = token.rstrip(".,;:?\"").rstrip("#%&*")
-        core = re.sub(r"(\W)\1+$", "", core).lstrip("\"'«“„([{#%&*")
+        core = undressed(core).lstrip("\"'«“„([{#%&*")
         if lattice_worthy(core):
             return restore(core, self.model)
         return bare if len(bare) <= LONGEST and any(map(str.isalpha, bare)) else ""
