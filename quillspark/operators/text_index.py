@@ -51,6 +51,7 @@ DOCUMENTS = -1
 ROUNDING = 1e-6
 
 PACKED = "bucket int, blob binary"
+KEYS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 Analyser = Callable[[list[str]], list[str | None]]
 
@@ -119,18 +120,27 @@ def _window_blocks(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _streamed(blocks: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.Table.from_batches([blocks]).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _mark(key_type: str) -> bytearray:
+    """A packed block that has nothing in it."""
+    ints, kind = pa.list_(pa.int32()), KEYS[key_type]
+    types = {"term": pa.string(), "window": pa.int64(), "n": pa.int32(), "total": pa.int64(), "top_tf": ints, "top_dl": ints, "docs": ints, "keys": pa.list_(kind), "tfs": ints, "dls": ints, "places": ints}
+    return bytearray(_streamed(pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types.values()], list(types))))
+
+
 def packed(blocks: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     """(bucket, blob): the blocks of each bucket as one compressed Arrow stream, since most have few postings and would be small rows."""
     at = np.array([zlib.crc32(t.encode()) % buckets if t else DOCUMENTS for t in blocks.column("term").to_pylist()], np.int32)
     order = np.argsort(at, kind="stable")
     blocks, at = blocks.take(pa.array(order)), at[order]
     names, starts = np.unique(at, return_index=True)
-    blobs = []
-    for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches([blocks.slice(a, b - a)]).combine_chunks())
-        blobs.append(sink.getvalue().to_pybytes())
+    blobs = [_streamed(blocks.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(at)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
@@ -142,9 +152,10 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class TextIndex:
-    """An index in a folder. ``analyser`` maps the distinct words of a window to terms, or None for words to leave out; the same one must be given again when the index is opened."""
+    """An index in a folder, by keys of type bigint, int or string. A bucket and a file of it are one task's work when a
+    segment is written, so ``buckets`` or ``files`` should grow with the texts (128 for 1 GB). ``analyser`` maps the distinct words of a window to terms, or None for words to leave out; the same one must be given again when the index is opened."""
 
-    def __init__(self, spark: SparkSession, path: str, key_type: str = "bigint", buckets: int = 32, files: int = 1, analyser: Analyser | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, key_type: str = "bigint", buckets: int = 128, files: int = 1, analyser: Analyser | None = None) -> None:
         self.spark, self.path, self.key_type, self.buckets, self.files, self.analyser = spark, path.rstrip("/"), key_type, buckets, files, analyser
         self.live: list = []
         self.refresh()
@@ -207,10 +218,10 @@ class TextIndex:
         # A term that most documents have has a block in every window: ``files`` spreads its bucket over so many tasks.
         spread = [F.pmod(F.xxhash64("blob"), F.lit(self.files))] if self.files > 1 else []
         tasks = (self.buckets + 1) * self.files
-        placed = blocks.repartition(tasks, "bucket", *spread).mapInArrow(unpacked, f"bucket int, {self.schema}")
         # Every bucket gets a row without a term, so that every folder is there to be read.
-        marks = self.spark.range(-1, self.buckets, numPartitions=1).select(F.col("id").cast("int").alias("bucket"))
-        placed.unionByName(marks, allowMissingColumns=True).sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
+        marks = self.spark.range(-1, self.buckets, numPartitions=1).select(F.col("id").cast("int").alias("bucket"), F.lit(_mark(self.key_type)).alias("blob"))
+        placed = blocks.unionByName(marks).repartition(tasks, "bucket", *spread).mapInArrow(unpacked, f"bucket int, {self.schema}")
+        placed.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
         documents = self.spark.read.schema(self.schema).parquet(f"{folder}/bucket={DOCUMENTS}").filter("term = ''")
         row = documents.agg(F.lit(segment).alias("segment"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("windows"), F.array(*[F.lit(s) for s in replaces]).cast("array<string>").alias("replaces"))
         row.coalesce(1).write.parquet(f"{self.path}/commits/{segment}")

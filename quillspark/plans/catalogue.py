@@ -19,8 +19,10 @@ from quillspark.operators import masking as M
 from quillspark.operators import retrieval as R
 from quillspark.operators import store as S
 from quillspark.operators import vector_index as V
+from quillspark.operators.asof import asof
 from quillspark.operators.text_index import TextIndex
 from quillspark.plans import engine
+from quillspark.plans.functions_sql import register_match_chunks
 from quillspark.plans.ingest import method_report as page_methods
 from quillspark.session import shared_dir, table
 from quillspark.sources import readers
@@ -249,6 +251,27 @@ def normalised_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(T.chunk_hash(F.col("text")).alias("hash_normalizado")).agg(F.count_distinct("doc_id").alias("docs")).filter("docs > 1")
 
 
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events), k AS (SELECT min(event_type) AS m FROM e),
+r AS (SELECT user_id, t, max(event_id) AS pagina FROM e, k WHERE event_type = m GROUP BY ALL), f AS (SELECT user_id, min_by(pagina, t) AS head FROM r GROUP BY 1)
+SELECT e.event_id, coalesce(r.pagina, f.head) AS pagina FROM e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.t >= r.t LEFT JOIN f ON f.user_id = e.user_id""")
+def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the last event of the first kind that its user had by then, as a chunk has its page."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("t"))
+    first = events.agg(F.min("event_type")).first()[0]
+    marks = events.filter(F.col("event_type") == F.lit(first)).select("user_id", "t", F.col("event_id").alias("pagina"))
+    return asof(events.select("event_id", "user_id", "t"), marks, "user_id", "t", "t", "pagina", 6 * 3600 * 1_000_000).select("event_id", "pagina")
+
+
+@query(f"WITH {VECTOR_SQL} SELECT vec_id::VARCHAR AS chunk_id, lang AS municipio, score AS similaridade FROM v JOIN documents ON doc_id = vec_id WHERE lang = 'en' AND source <> 'src0' ORDER BY score DESC, vec_id::VARCHAR LIMIT 20")
+def match_chunks_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function from SQL: vectors as chunks of the documents with their ids, those of one source as boilerplate."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = table(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), "source"), "vec_id").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("documento_id"), F.lit("").alias("texto"), (F.col("source") == "src0").alias("eh_padronizado"), "embedding")
+    register_match_chunks(spark, chunks, docs.select(F.col("doc_id").alias("documento_id"), F.col("lang").alias("municipio"), F.lit("Ata").alias("tipo_documento")))
+    probe = ", ".join(T.sql_double(x) for x in probe_vector(spark, sf_dir))
+    return spark.sql(f"SELECT chunk_id, municipio, similaridade FROM match_chunks(array({probe}), 20, 'en', NULL)")
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 11 <> 0")
 def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers appended, inserted if absent, changed and deleted, in four versions of a store."""
