@@ -7,9 +7,11 @@ et al., "Product Quantization for Nearest Neighbor Search", 2011). Lists are sto
 as blocks of up to ``BLOCK`` codes in a folder per list, so a search for one vector
 opens only the lists that it probes.
 
-A set of queries meets the lists block by block: each pair of blocks yields the best
-``shortlist`` codes of each query, the best of all lists are re-scored with the
-vectors themselves. The exact scan (``exact_top``) works through blocks in the same way.
+A set of queries meets the lists block by block. First each query meets its nearest lists,
+as many as hold ``shortlist`` codes; the score of its last code there is a floor that the codes
+of all other lists must reach, so few rows are made, however many lists are probed. The
+best of all are re-scored with the vectors themselves. The exact scan (``exact_top``) works
+through blocks in the same way, and a task keeps only the best of what it has seen.
 
 Defined results: vectors are compared by cosine; null, empty and zero vectors, those with
 null or non-finite components and those of another length than the index are on no list and
@@ -27,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.session import ship_code
+from quillspark.session import materialise, ship_code
 
-#: Codes of a block, and queries that meet it at a time.
-BLOCK, QUERIES = 4096, 256
+#: Codes of a block, queries that meet it at a time, and tasks that share all rows of an exact scan.
+BLOCK, QUERIES, SHARES = 4096, 256, 16
 
 
 @dataclass(frozen=True)
@@ -178,8 +180,8 @@ class VectorIndex:
         coded = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), vector).mapInArrow(body, "cell int, id long, data binary")
         _packed(coded, "id", BLOCK, self.spread, self.tasks).write.mode("append").partitionBy("cell").parquet(f"{self.path}/lists")
 
-    def _probes(self, queries: DataFrame, probe: int) -> DataFrame:
-        """(cell, id, data): every query under each of the lists that it probes, with its unit vector as bytes."""
+    def _probes(self, queries: DataFrame, probe: int, enough: int, sizes: dict[int, int]) -> DataFrame:
+        """(cell, id, data, near): every query under each of the lists that it probes, with its unit vector as bytes; ``near`` are the first lists that hold ``enough`` codes."""
         shared = self.shared
 
         def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,34 +191,56 @@ class VectorIndex:
                     at, unit = unit_rows(batch.column(1), model.length)
                     if len(at):
                         cells = model.nearest(unit, probe)
-                        yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1).astype(np.int32)), batch.column(0).take(pa.array(np.repeat(at, cells.shape[1]))), pa.array([u.tobytes() for u in unit for _ in range(cells.shape[1])], pa.binary())], ["cell", "id", "data"])
+                        held = np.array([sizes.get(c, 0) for c in range(len(model.centroids))])[cells]
+                        near = np.cumsum(held, axis=1) - held < enough
+                        n = cells.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1).astype(np.int32)), batch.column(0).take(pa.array(np.repeat(at, n))), pa.array([u.tobytes() for u in unit for _ in range(n)], pa.binary()), pa.array(near.reshape(-1))], ["cell", "id", "data", "near"])
 
-        return queries.select("query", "vector").mapInArrow(body, "cell int, id long, data binary")
+        return queries.select("query", "vector").mapInArrow(body, "cell int, id long, data binary, near boolean")
 
-    def candidates(self, queries: DataFrame, probe: int, shortlist: int, cells: list[int] | None = None) -> DataFrame:
-        """(query, id, score): the best ``shortlist`` codes for each of ``queries`` (query, vector) on the ``probe`` nearest lists."""
-        ship_code(self.spark)
+    def _scored(self, lists: DataFrame, asked: DataFrame, shortlist: int) -> DataFrame:
+        """(query, id, score) of the codes on the lists of ``asked`` (cell, id, data, floor) that reach the query's floor, at most ``shortlist`` of a block."""
         shared = self.shared
-        lists = self.spark.read.parquet(f"{self.path}/lists")
-        if cells is not None:
-            lists = lists.filter(F.col("cell").isin(cells))
-        asked = _packed(self._probes(queries, probe), "id", QUERIES, 1, self.tasks)
+        floored = asked.select("cell", "id", F.concat("data", F.col("floor")).alias("data"))
 
         def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
             for batch in batches:
                 for row in batch.to_pylist():
-                    unit = np.frombuffer(row["vectors"]).reshape(-1, model.length)
+                    both = np.frombuffer(row["vectors"]).reshape(-1, model.length + 1)
+                    unit, floor = both[:, :-1], both[:, -1]
                     codes = np.frombuffer(row["data"], np.uint8).reshape(-1, len(model.books))
                     score = np.repeat((unit @ model.centroids[row["cell"]])[:, None], len(codes), 1)
                     for j, book in enumerate(model.books):
                         part = unit[:, j * book.shape[1] : (j + 1) * book.shape[1]]
                         score += (part @ book.T)[:, codes[:, j]]
                     who, what = _best(score, shortlist)
+                    kept = score[who, what] >= floor[who]
+                    who, what = who[kept], what[kept]
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(row["queries"])[who]), pa.array(np.array(row["ids"])[what]), pa.array(score[who, what])], ["query", "id", "score"])
 
-        met = _meeting(lists, asked, self.spread)
-        return top(met.mapInArrow(body, "query long, id long, score double"), shortlist, "score").drop("rank")
+        blocks = _packed(floored, "id", QUERIES, 1, self.tasks)
+        return _meeting(lists, blocks, self.spread).mapInArrow(body, "query long, id long, score double")
+
+    def candidates(self, queries: DataFrame, probe: int, shortlist: int, cells: list[int] | None = None) -> DataFrame:
+        """(query, id, score): the best ``shortlist`` codes for each of ``queries`` (query, vector) on the ``probe`` nearest lists."""
+        ship_code(self.spark)
+        lists = self.spark.read.parquet(f"{self.path}/lists")
+        if cells is not None:
+            lists = lists.filter(F.col("cell").isin(cells))
+        sizes = {r[0]: r[1] for r in lists.groupBy("cell").agg(F.sum(F.size("ids"))).collect()}  # a number a list
+        probes = materialise(self._probes(queries, probe, shortlist, sizes), "probes")
+        lowest = bytes(np.array([-np.inf]).tobytes())
+        first = materialise(self._scored(lists, probes.filter("near").withColumn("floor", F.lit(bytearray(lowest))), shortlist), "near")
+        floors = top(first, shortlist, "score").groupBy("query").agg(F.when(F.count("*") >= shortlist, F.min("score")).alias("f"))
+
+        def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(1).fill_null(float("-inf")).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.float64(v).tobytes() for v in values], pa.binary())], ["query", "floor"])
+
+        floored = probes.filter("NOT near").join(floors.mapInArrow(as_bytes, "query long, floor binary").withColumnRenamed("query", "id"), "id")
+        return top(first.unionByName(self._scored(lists, floored, shortlist)), shortlist, "score").drop("rank")
 
     def search(self, queries: DataFrame, vectors: DataFrame, k: int, probe: int, shortlist: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
         """(query, id, score, rank): the ``k`` best by exact cosine among the candidates of each of ``queries`` (query, vector)."""
@@ -252,18 +276,24 @@ def exact_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), batch.column(0).take(pa.array(at)), pa.array([u.tobytes() for u in unit], pa.binary())], ["cell", "id", "data"])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = (np.frombuffer(row[c]).reshape(-1, row["cell"]) for c in ("vectors", "data"))
-                score = np.round(a @ b.T, 6)
-                # Ties at the end of a block's best are all kept, the order by id decides later.
+                score, ids = np.round(a @ b.T, 6), np.array(row["ids"])
+                floor = np.array([best[q][-1][0] if len(best.get(q, ())) == k else np.inf for q in row["queries"]])
+                # Ties at the end of a block's best are all looked at, since the id decides between them.
                 limit = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
-                who, what = np.nonzero(score >= limit[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(row["queries"])[who]), pa.array(np.array(row["ids"])[what]), pa.array(score[who, what])], ["query", "id", "score"])
+                hit = score >= np.maximum(limit, -floor)[:, None]
+                for i in np.flatnonzero(hit.any(1)).tolist():
+                    own = [*best.get(row["queries"][i], ()), *zip((-score[i, hit[i]]).tolist(), ids[hit[i]].tolist(), strict=True)]
+                    best[row["queries"][i]] = sorted(own)[:k]
+        flat = [(q, i, -s) for q, own in best.items() for s, i in own]
+        yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "id", "score"])
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = "cell int, id long, data binary"
-    rows = _packed(vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), vector).mapInArrow(units, kind), "id", BLOCK, tasks, tasks)
+    rows = _packed(vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), vector).mapInArrow(units, kind), "id", BLOCK, SHARES, tasks)
     asked = _packed(queries.select("query", "vector").mapInArrow(units, kind), "id", QUERIES, 1, tasks)
-    met = _meeting(rows, asked, tasks)
+    met = _meeting(rows, asked, SHARES)
     return top(met.mapInArrow(body, "query long, id long, score double"), k, "score")

@@ -256,7 +256,7 @@ r AS (SELECT user_id, t, max(event_id) AS pagina FROM e, k WHERE event_type = m
 SELECT e.event_id, coalesce(r.pagina, f.head) AS pagina FROM e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.t >= r.t LEFT JOIN f ON f.user_id = e.user_id""")
 def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with the last event of the first kind that its user had by then, as a chunk has its page."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("t"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     first = events.agg(F.min("event_type")).first()[0]
     marks = events.filter(F.col("event_type") == F.lit(first)).select("user_id", "t", F.col("event_id").alias("pagina"))
     return asof(events.select("event_id", "user_id", "t"), marks, "user_id", "t", "t", "pagina", 6 * 3600 * 1_000_000).select("event_id", "pagina")
