@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
+from quillspark.operators.text_index import TextIndex
 from quillspark.plans import engine, ingest
 from quillspark.session import materialise
 
@@ -195,3 +196,12 @@ def test_catalogue_source(spark):
     rows = spark.read.format("catalogue").option("url", f"http://127.0.0.1:{server.server_port}/gazettes").option("territory_ids", "1, 2").option("size", "2").load().collect()
     server.shutdown()
     assert [(r.territory_id, r.edicao, r.url_origem) for r in sorted(rows, key=lambda r: r.edicao)] == [("1", str(i), f"u{i}") for i in range(5)]
+
+
+def test_search_with_a_stored_index(spark, tmp_path):
+    plain, indexed = engine_of(spark), engine_of(spark)
+    indexed.index = TextIndex(spark, f"file://{tmp_path}/index", key_type="string", buckets=4)
+    indexed.index.append(indexed.chunks, "chunk_id", "texto")
+    for consulta in ("contrato", "firmado -sede", '"firmado por"', "123.456.789-09 servidora", "nada"):
+        for options in ({"modo": "lexico"}, {"modo": "hibrido"}, {"modo": "lexico", "incluir_padronizados": True}):
+            assert sorted(found(indexed, consulta, **options)) == sorted(found(plain, consulta, **options)), (consulta, options)
