@@ -221,7 +221,7 @@ class TextIndex:
         # Every bucket gets a row without a term, so that every folder is there to be read.
         marks = self.spark.range(-1, self.buckets, numPartitions=1).select(F.col("id").cast("int").alias("bucket"), F.lit(_mark(self.key_type)).alias("blob"))
         placed = blocks.unionByName(marks).repartition(tasks, "bucket", *spread).mapInArrow(unpacked, f"bucket int, {self.schema}")
-        placed.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").parquet(folder)
+        placed.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
         documents = self.spark.read.schema(self.schema).parquet(f"{folder}/bucket={DOCUMENTS}").filter("term = ''")
         row = documents.agg(F.lit(segment).alias("segment"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("windows"), F.array(*[F.lit(s) for s in replaces]).cast("array<string>").alias("replaces"))
         row.coalesce(1).write.parquet(f"{self.path}/commits/{segment}")

@@ -1,11 +1,13 @@
 """The ingestion plan and the request surface on a small corpus."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules
 from quillspark.operators.text_index import TextIndex
-from quillspark.plans import engine, ingest
+from quillspark.plans import engine, harness, ingest
 from quillspark.session import materialise
 
 
@@ -205,3 +207,16 @@ def test_search_with_a_stored_index(spark, tmp_path):
     for consulta in ("contrato", "firmado -sede", '"firmado por"', "123.456.789-09 servidora", "nada"):
         for options in ({"modo": "lexico"}, {"modo": "hibrido"}, {"modo": "lexico", "incluir_padronizados": True}):
             assert sorted(found(indexed, consulta, **options)) == sorted(found(plain, consulta, **options)), (consulta, options)
+
+
+def test_harness_measures_each_search(spark):
+    questions = [harness.Question("contrato ontem", "semantico", ("b", "c")), harness.Question("formulario", "exato", ("d", "zz")), harness.Question("nomeada", "exato", ("a",))]
+    began = time.perf_counter()
+    rows = harness.measure(spark, engine_of(spark), questions, ("lexico", "hibrido")).collect()
+    spent = time.perf_counter() - began
+    by = {(r.modo, r.pergunta): r for r in rows}
+    assert len(by) == 6 and all(r.latencia > 0 for r in rows) and sum(r.latencia for r in rows) < spent
+    assert by["lexico", "contrato ontem"].recall == 1.0 and by["lexico", "contrato ontem"].precision == 1.0
+    assert by["lexico", "formulario"].recall == 0.0 and by["lexico", "nomeada"].precision == 1.0
+    modes, kinds = harness.report(spark.createDataFrame(rows))
+    assert {r.modo: r.perguntas for r in modes.collect()} == {"lexico": 3, "hibrido": 3} and kinds.count() == 4
