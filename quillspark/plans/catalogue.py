@@ -415,19 +415,26 @@ def _grams(words: Column, start: int, count: int, length: int) -> Column:
     return F.transform(F.sequence(F.lit(start), F.lit(start) + count - 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, length), " ")))
 
 
-def _cited(spark: SparkSession, sf_dir: str, length: int = 8) -> DataFrame:
+def _cited(spark: SparkSession, sf_dir: str, length: int = 8, most: int = 1_000_000) -> DataFrame:
     """Which documents hold which passage: pairs that share the hash of one inner run of words, then verified.
 
     Words inside a passage are whole words of whatever holds it; passages too
     short for such a run have none and meet every document (a stated query set).
+    Up to ``most`` hashes are broadcast, so that only runs of passages leave a text;
+    beyond that the runs of all texts are joined with them.
     """
     items = table(spark, sf_dir, "benchmark").select("item_id", T.squeeze(F.col("text")).alias("c")).withColumn("w", F.split("c", " "))
     long = items.filter(F.size("w") >= length + 2).select("item_id", "c", F.xxhash64(F.array_join(F.slice("w", 2, length), " ")).alias("gram"))
     short = items.filter(F.size("w") < length + 2).select("item_id", "c")
     docs = table(spark, sf_dir, "documents").select("doc_id", T.squeeze(F.col("text")).alias("t"))
-    known = long.agg(F.collect_set("gram").alias("known"))
-    grams = docs.withColumn("w", F.split("t", " ")).join(F.broadcast(known)).filter(F.size("w") >= length)
-    near = grams.select("doc_id", "t", F.explode(F.array_intersect(_grams(F.col("w"), 1, F.size("w") - length + 1, length), "known")).alias("gram")).join(long, "gram").select("item_id", "doc_id", "t", "c")
+    runs = docs.withColumn("w", F.split("t", " ")).filter(F.size("w") >= length)
+    own = _grams(F.col("w"), 1, F.size("w") - length + 1, length)
+    if long.count() <= most:
+        known = long.agg(F.collect_set("gram").alias("known"))
+        near = runs.join(F.broadcast(known)).select("doc_id", "t", F.explode(F.array_intersect(own, "known")).alias("gram")).join(long, "gram").select("item_id", "doc_id", "t", "c")
+    else:
+        met = runs.select("doc_id", F.explode(F.array_distinct(own)).alias("gram")).join(long, "gram").select("item_id", "doc_id", "c").distinct()
+        near = met.join(docs, "doc_id").select("item_id", "doc_id", "t", "c")
     rest = docs.join(short, F.contains("t", "c")).select("item_id", "doc_id", "t", "c") if not short.isEmpty() else near.limit(0)
     return near.unionByName(rest).filter(T.citation_verified(F.col("t"), F.col("c"))).select("item_id", "doc_id").distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import rules
 from quillspark.operators.text_index import TextIndex
-from quillspark.plans import engine, harness, ingest
+from quillspark.plans import catalogue, engine, harness, ingest
 from quillspark.session import materialise
 
 
@@ -220,3 +220,8 @@ def test_harness_measures_each_search(spark):
     assert by["lexico", "formulario"].recall == 0.0 and by["lexico", "nomeada"].precision == 1.0
     modes, kinds = harness.report(spark.createDataFrame(rows))
     assert {r.modo: r.perguntas for r in modes.collect()} == {"lexico": 3, "hibrido": 3} and kinds.count() == 4
+
+
+def test_citations_without_a_broadcast(spark):
+    sf = "/root/testdata/sf0.001"
+    assert sorted(catalogue._cited(spark, sf, most=0).collect()) == sorted(catalogue._cited(spark, sf).collect())
