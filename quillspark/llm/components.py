@@ -5,7 +5,7 @@ alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014) turn every component into a star
 around its smallest id. A node may have any number of neighbours: what meets
 at a node is dealt by (node, salt), and the least neighbour is found by salt
-first.
+first. Joins ask for a merge: a broadcast for each of them adds up in the driver.
 """
 
 from __future__ import annotations
@@ -42,27 +42,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(parent, x) for x in nodes], pa.int64())], ["a", "b"])
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a > b) are stars: no id stands under two others, or under one and over another."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("under")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("under")))
+    return ends.groupBy("id").agg(F.sum("under").alias("times"), F.min("under").alias("least")).filter("times > 1 OR times = 1 AND least = 0").isEmpty()
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(a, b, m): every edge with the least neighbour of ``a``."""
+    """(a, b, m): every edge with the least neighbour of ``a``, which reaches each salt of ``a`` once."""
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     part = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
-    least = part.groupBy("a").agg(F.min("low").alias("m"))
-    return salted.join(part.join(least, "a").select("a", "salt", "m"), ["a", "salt"]).select("a", "b", "m")
+    least = part.groupBy("a").agg(F.min("low").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted.join(least.select("a", F.explode("salts").alias("salt"), "m").hint("merge"), ["a", "salt"]).select("a", "b", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b); component is the smallest id reachable."""
     ship_code(links.sparkSession)
     edges = materialise(links.select("a", "b").filter("a <> b").mapInArrow(_forest, EDGES).distinct(), "edges")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
-        small = _with_least(large)
+        # Written, since its least neighbours read it several times: a plan that holds it as often fills the driver's memory.
+        small = _with_least(materialise(large, "large"))
         edges = materialise(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

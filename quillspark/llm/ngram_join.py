@@ -24,6 +24,10 @@ shares prefix tokens under three orders at once:
 A token that very many documents hold is dealt into salts with a centre each,
 and the centres are paired with the smallest of them.
 
+The joins ask for a merge, and tables that several branches of a plan read are
+written first: over a hundred broadcasts and nested plans of some hundred nodes
+fill the memory of a driver, whatever the size of the tables.
+
 Defined results: words are lower-cased in A-Z only; a text of fewer words than
 a shingle is one shingle; null, empty or blank texts have none and link with
 nothing; rows that share a doc_id share its component, whatever their texts;
@@ -319,7 +323,7 @@ def _beside(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame
     """``pairs`` with the given columns of both nodes, the centre's with an x before the name."""
     mine = nodes.select(*NODE, *columns)
     its = nodes.select(F.col("id").alias("cid"), F.col("key").alias("ckey"), *[F.col(c).alias("x" + c) for c in columns])
-    return pairs.join(mine, NODE).join(its, ["cid", "ckey"])
+    return pairs.join(mine.hint("merge"), NODE).join(its.hint("merge"), ["cid", "ckey"])
 
 
 def in_blocks(crowds: DataFrame, size: Column) -> DataFrame:
@@ -332,15 +336,16 @@ def in_blocks(crowds: DataFrame, size: Column) -> DataFrame:
     small = of_class.filter(~F.col("large")).groupBy("crowd").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("rest"))
     dealt = of_class.filter("large").select("crowd", "class", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("parts"))
     # block: number within the class, or within what is left (owner null).
-    members = crowds.join(dealt, ["crowd", "class"], "left").join(small, "crowd", "left").select(
+    members = crowds.join(dealt.hint("merge"), ["crowd", "class"], "left").join(small.hint("merge"), "crowd", "left").select(
         "crowd", *NODE, "n", "class", F.when(F.col("parts").isNotNull(), F.col("class")).alias("owner"),
         F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(*NODE), "parts")).otherwise(F.pmod(F.xxhash64("class"), "rest")).alias("number"))
-    members = members.withColumn("block", F.concat_ws(":", F.coalesce(F.col("owner").cast("string"), F.lit("")), F.col("number").cast("string")))
+    # Written, since three branches of the plan read it.
+    members = materialise(members.withColumn("block", F.concat_ws(":", F.coalesce(F.col("owner").cast("string"), F.lit("")), F.col("number").cast("string"))), "members")
     blocks = members.select("crowd", "block", "owner").distinct()
     other = blocks.select("crowd", F.col("block").alias("block2"), F.col("owner").alias("owner2"))
-    met = blocks.join(other, "crowd").filter((F.col("block") <= F.col("block2")) & F.coalesce(F.col("owner") != F.col("owner2"), F.lit(True)))
+    met = blocks.join(other.hint("merge"), "crowd").filter((F.col("block") <= F.col("block2")) & F.coalesce(F.col("owner") != F.col("owner2"), F.lit(True)))
     sides = met.select("crowd", F.col("block").alias("low"), F.col("block2").alias("high"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    return members.join(sides, ["crowd", "block"]).select("crowd", "low", "high", "block", *NODE, "n", "class")
+    return members.join(sides.hint("merge"), ["crowd", "block"]).select("crowd", "low", "high", "block", *NODE, "n", "class")
 
 
 class _Lists:
@@ -423,7 +428,7 @@ def crowd_candidates(crowds: DataFrame, maps: DataFrame, join: Join) -> DataFram
             keep[i] |= close.any()
         return group.filter(pa.array(keep)).select(["crowd", *NODE, "n", "class"])
 
-    dealt = in_blocks(crowds, F.col("n") / 8 + 16).join(maps, NODE)
+    dealt = in_blocks(crowds, F.col("n") / 8 + 16).join(maps.hint("merge"), NODE)
     return dealt.groupBy("crowd", "low", "high").applyInArrow(body, crowds.select("crowd", *NODE, "n", "class").schema).distinct()
 
 
@@ -447,7 +452,7 @@ def crowd_links(crowds: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
                         label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    dealt = in_blocks(crowds, F.lit(8) * F.col("n")).join(nodes, NODE)
+    dealt = in_blocks(crowds, F.lit(8) * F.col("n")).join(nodes.hint("merge"), NODE)
     return dealt.groupBy("crowd", "low", "high").applyInArrow(body, "a long, b long")
 
 
@@ -457,11 +462,11 @@ def _meeting(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     salted = found.filter("tok IS NOT NULL")
     locals_ = salted.select("tok", *its).distinct()
     tops = locals_.groupBy("tok").agg(F.min(F.struct(*its)).alias("top"))
-    above = locals_.join(tops, "tok").select("tok", *its, "top")
+    above = locals_.join(tops.hint("merge"), "tok").select("tok", *its, "top")
     upward = above.filter("cid <> top.cid OR ckey <> top.ckey").select(F.col("cid").alias("id"), F.col("ckey").alias("key"), F.col("top.cid").alias("cid"), F.col("top.ckey").alias("ckey"))
     pairs = found.filter("paired").select(*NODE, "cid", "ckey").unionByName(upward).distinct()
     members = found.filter("crowd AND tok IS NULL").select(F.struct("cid", "ckey").alias("crowd"), *NODE, "n")
-    more = salted.join(above, ["tok", *its]).select(F.struct("top.cid", "top.ckey").alias("crowd"), *NODE, "n")
+    more = salted.join(above.hint("merge"), ["tok", *its]).select(F.struct("top.cid", "top.ckey").alias("crowd"), *NODE, "n")
     return pairs, members.unionByName(more).distinct()
 
 
@@ -475,7 +480,7 @@ def linked(rows: DataFrame, join: Join, tokens: int, maps: DataFrame, same: Data
     found = materialise(centred(packed_prefixes(rows, join, orders, max(16, -(-tokens // BUCKET_TOKENS))), join), "centred")
     pairs, crowds = _meeting(found)
     pairs = materialise(close_pairs(_beside(pairs, maps, ["n", "parity"]), join), "pairs")
-    crowds = materialise(crowd_candidates(crowds.withColumn("class", F.col("id")), maps.drop("n"), join), "crowds")
+    crowds = materialise(crowd_candidates(materialise(crowds.withColumn("class", F.col("id")), "crowds"), maps.drop("n"), join), "crowds")
     ends = lambda some: some.select("id").unionByName(some.select(F.col("cid").alias("id")))
     nodes = node_sets(rows, join, orders, id_map(ends(pairs).unionByName(crowds.select("id"))))
     nodes = materialise(nodes.dropDuplicates(NODE) if repeated else nodes, "nodes")
@@ -485,9 +490,9 @@ def linked(rows: DataFrame, join: Join, tokens: int, maps: DataFrame, same: Data
     alike = compared.filter(F.col("both") * join.den >= join.num * (F.size("tokens") + F.size("xtokens") - F.col("both")))
     stars = components(alike.select(F.col("id").alias("a"), F.col("cid").alias("b")).unionByName(same))
     # Crowds whose members are in one class by now have nothing left to tell.
-    crowds = crowds.drop("class").join(stars, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    crowds = crowds.drop("class").join(stars.hint("merge"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     several = crowds.groupBy("crowd").agg(F.min("class").alias("one"), F.max("class").alias("two")).filter("one <> two").select("crowd")
-    crowds = materialise(crowd_candidates(materialise(crowds.join(several, "crowd"), "crowds"), maps.drop("n"), join), "crowds")
+    crowds = materialise(crowd_candidates(materialise(crowds.join(several.hint("merge"), "crowd"), "crowds"), maps.drop("n"), join), "crowds")
     more = materialise(crowd_links(crowds, nodes, join), "links")
     if more.isEmpty():
         return stars
@@ -503,9 +508,9 @@ def join_documents(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id",
     # A class of equal sets may hold any share of the rows: smallest id by salt, then over salts.
     part = some.groupBy("key", "salt").agg(F.min("doc_id").alias("low"))
     least = part.groupBy("key").agg(F.min("low").alias("class"))
-    same = some.join(part.join(least, "key").select("key", "salt", "class"), ["key", "salt"]).select(F.col("doc_id").alias("a"), F.col("class").alias("b")).filter("a <> b")
+    same = some.join(part.join(least.hint("merge"), "key").select("key", "salt", "class").hint("merge"), ["key", "salt"]).select(F.col("doc_id").alias("a"), F.col("class").alias("b")).filter("a <> b")
     tokens = keyed.agg(F.sum(F.floor(F.col("n") * (join.den - join.num) / join.den) + 1)).first()[0] or 0
     repeated = not some.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
     maps = keyed.filter("key IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("node").alias("key"), "n", "parity")
     found = linked(rows, join, int(tokens), maps.dropDuplicates(NODE) if repeated else maps, same, repeated)
-    return keyed.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return keyed.join(found.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -324,6 +324,25 @@ def test_components(spark):
     assert all(got.get(x, x) == find(up, x) for e in edges for x in e)
 
 
+def test_components_plans_stay_small(spark, monkeypatch):
+    """No plan of a round broadcasts or holds the edges once for each use of a use; stars need no round."""
+    from quillspark.llm import components as module
+
+    made, real = [], module.materialise
+
+    def noted(df, name):
+        plans = df._jdf.queryExecution()
+        made.append((plans.optimizedPlan().toString().count("Relation "), "Broadcast" in plans.executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(module, "materialise", noted)
+    links = lambda edges: {r.id: r.component for r in module.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert links([(9, 1), (8, 1), (7, 2)]) == {1: 1, 9: 1, 8: 1, 2: 2, 7: 2} and len(made) == 1
+    made.clear()
+    assert links([(i, i + 1) for i in range(40)]) == dict.fromkeys(range(41), 0) and len(made) > 1
+    assert max(n for n, _ in made) <= 4 and not any(sent for _, sent in made)
+
+
 # ---- 8
 
 
