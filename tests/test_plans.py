@@ -225,3 +225,11 @@ def test_harness_measures_each_search(spark):
 def test_citations_without_a_broadcast(spark):
     sf = "/root/testdata/sf0.001"
     assert sorted(catalogue._cited(spark, sf, most=0).collect()) == sorted(catalogue._cited(spark, sf).collect())
+
+
+def test_act_words_are_counted_where_they_overlap_and_alone(spark, tmp_path):
+    """Words that share letters count each, as in the SQL, and act words of the texts themselves count as nothing."""
+    texts = ["erthe the", "erthand erth", "erthing", "decreto aviso portaria", "hand decreto decreto thing", "The HAND the", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.tipo for r in catalogue.act_type_mode(spark, f"file://{tmp_path}").orderBy("doc_id").collect()]
+    assert got == ["Aviso", "Edital", "Portaria", "Outro", "Portaria", "Aviso", "Aviso", "Outro"]
