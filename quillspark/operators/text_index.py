@@ -2,19 +2,22 @@
 
 Layout of an index folder::
 
-    segments/<id>/bucket=<n>/*.parquet   blocks: postings of one term in one window of documents
+    segments/<id>/bucket=<n>/*.parquet   postings of one window of documents for the terms of one bucket, a row each
     commits/<id>/*.parquet               one row that makes the segment visible
 
 A window is up to ``WINDOW`` documents that one task read together, so its
-postings are gathered where the texts are, and only blocks travel, to the bucket
-of their term's hash. A block keeps the best (count, length) pairs of its postings:
-those that no other pair beats in both. From them follows the largest score that
-the term can add in the window, whatever the corpus has grown to since.
+postings are gathered where the texts are, and travel to the bucket of their
+term's hash as they are stored: columns of numbers, each compressed, beside the
+keys and lengths of the window's documents, which stand there once and not once
+a posting. A query reads the buckets of its terms and makes blocks of them: the
+postings of one term in one window, with the best (count, length) pairs, those
+that no other pair beats in both. From them follows the largest score that the
+term can add in the window, whatever the corpus has grown to since.
 
 A top-k query scores the windows with the largest bounds first; windows whose bound
 does not reach the k-th score found there are never opened. New documents are
 appended as segments; ``merge`` packs many segments into one and retires them with
-the same commit row. A segment without its row is not seen, so a failed write
+the same commit row; full windows go over as they are, others are joined. A segment without its row is not seen, so a failed write
 leaves the index as it was.
 
 Defined results: a null or empty text counts as a document of length 0 that no term
@@ -41,8 +44,6 @@ from quillspark.functions import text as T
 from quillspark.session import ship_code
 
 WINDOW = 1024
-#: Places by posting, from the counts and the places of a block: ``starts`` are sums of the counts before.
-PLACES = "transform(aggregate(tfs, named_struct('next', 0, 'all', cast(array() AS array<int>)), (a, n) -> named_struct('next', a.next + n, 'all', a.all || array(a.next)), a -> a.all), (s, i) -> slice(places, s + 1, tfs[i]))"
 #: Windows that a top-k query scores to find out which others can matter.
 PROBE = 32
 #: Bucket of the blocks that list the documents themselves, under the empty term.
@@ -50,7 +51,11 @@ DOCUMENTS = -1
 #: Stands for scores that are rounded up.
 ROUNDING = 1e-6
 
-PACKED = "bucket int, blob binary"
+#: A row of a segment: ``n`` documents of ``total`` words in the window; ``terms`` and ``keys`` are Arrow streams, the others packed numbers.
+STORED = "window bigint, n int, total bigint, terms binary, sizes binary, docs binary, tfs binary, places binary, keys binary, dls binary"
+ROWS = f"bucket int, {STORED}"
+#: Bytes of a file's row group: a reader holds one at once.
+ROW_GROUP = 16 << 20
 KEYS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 Analyser = Callable[[list[str]], list[str | None]]
@@ -73,19 +78,45 @@ def _int_lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return _lists(pa.array(values.astype(np.int32)), ends)
 
 
-def _ends(rows: np.ndarray, n: int) -> np.ndarray:
-    return np.cumsum(np.bincount(rows, minlength=n))
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes: most of the upper bytes are zero."""
+    return pa.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _window_blocks(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None, window: int) -> pa.RecordBatch:
-    """Blocks of one window, and under the empty term the block of its documents."""
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 4 * int(n), codec="zstd"), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _streamed(values: pa.Array) -> bytes:
+    batch, sink = pa.RecordBatch.from_arrays([values], ["v"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _values(streamed: bytes) -> pa.Array:
+    return pa.ipc.open_stream(streamed).read_next_batch().column(0)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
+def _window_rows(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None, window: int, buckets: int) -> pa.RecordBatch:
+    """One window's row for each bucket that it has terms of, and the row of its documents under the empty term."""
     lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.dictionary_encode(words.flatten())
     names = coded.dictionary.to_pylist()
     # The analyser sees every distinct word of the window once.
     terms = names if analyse is None else analyse(names)
-    known = {t: i for i, t in enumerate(sorted({t for t in terms if t}))}
-    number = np.array([known.get(t, -1) for t in terms], np.int64)
+    # Terms are numbered bucket by bucket, so that those of a bucket stand together, as their postings then do.
+    known = sorted((zlib.crc32(t.encode()) % buckets, t) for t in {t for t in terms if t})
+    number_of = {t: i for i, (_, t) in enumerate(known)}
+    number = np.array([number_of.get(t, -1) for t in terms], np.int64)
     term = number[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -93,67 +124,90 @@ def _window_blocks(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None
     dl = np.bincount(doc, minlength=len(lengths))
     pair = term * len(lengths) + doc
     order = np.argsort(pair, kind="stable")
-    pairs, starts, tf = np.unique(pair[order], return_index=True, return_counts=True)
+    pairs, first = np.unique(pair[order], return_index=True)
     row, own = np.divmod(pairs, max(1, len(lengths)))
-    n = len(known)
-    everyone = np.arange(len(lengths))
-    # The last row is that of the documents: each once, of count 0, at no place. Places of a row stand one after another.
-    lengths_of = np.bincount(row, tf, n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
-    places = _int_lists(place[order], np.append(np.cumsum(lengths_of), len(order)))
-    row, own, tf = np.concatenate([row, np.full(len(everyone), n)]), np.concatenate([own, everyone]), np.concatenate([tf, np.zeros(len(everyone), np.int64)])
-    best = _frontier(row, tf, dl[own])
-    ends = _ends(row, n + 1)
-    size = np.bincount(row, minlength=n + 1)
-    columns = {
-        "term": pa.array([*known, ""]),
-        "window": pa.array(np.full(n + 1, window, np.int64)),
-        "n": pa.array(size.astype(np.int32)),
-        "total": pa.array(np.concatenate([np.bincount(row, tf, n + 1)[:n], [dl.sum()]]).astype(np.int64)),
-        "top_tf": _int_lists(tf[best], _ends(row[best], n + 1)),
-        "top_dl": _int_lists(dl[own[best]], _ends(row[best], n + 1)),
-        "docs": _int_lists(own, ends),
-        "keys": _lists(keys.take(pa.array(own)), ends),
-        "tfs": _int_lists(tf, ends),
-        "dls": _int_lists(dl[own], ends),
-        "places": places,
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def _streamed(blocks: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(pa.Table.from_batches([blocks]).combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
-def _mark(key_type: str) -> bytearray:
-    """A packed block that has nothing in it."""
-    ints, kind = pa.list_(pa.int32()), KEYS[key_type]
-    types = {"term": pa.string(), "window": pa.int64(), "n": pa.int32(), "total": pa.int64(), "top_tf": ints, "top_dl": ints, "docs": ints, "keys": pa.list_(kind), "tfs": ints, "dls": ints, "places": ints}
-    return bytearray(_streamed(pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in types.values()], list(types))))
-
-
-def packed(blocks: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    """(bucket, blob): the blocks of each bucket as one compressed Arrow stream, since most have few postings and would be small rows."""
-    at = np.array([zlib.crc32(t.encode()) % buckets if t else DOCUMENTS for t in blocks.column("term").to_pylist()], np.int32)
-    order = np.argsort(at, kind="stable")
-    blocks, at = blocks.take(pa.array(order)), at[order]
-    names, starts = np.unique(at, return_index=True)
-    blobs = [_streamed(blocks.slice(a, b - a)) for a, b in zip(starts, [*starts[1:], len(at)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The postings, and the places, up to each term; places of a posting stand one after another.
+    ends, at = np.searchsorted(row, np.arange(len(known) + 1)), np.append(first, len(order))
+    place, tf = place[order], np.diff(at)
+    documents = (window, len(lengths), int(dl.sum()))
+    who = (_streamed(keys), _packed(dl))
+    zeros = np.zeros(len(lengths), np.int32)
+    rows = [(DOCUMENTS, *documents, _streamed(pa.array([""])), _packed(np.array([len(lengths)])), _packed(np.arange(len(lengths))), _packed(zeros), _packed(zeros[:0]), *who)]
+    cuts = np.searchsorted([b for b, _ in known], np.arange(buckets + 1))
+    for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            p, q = ends[a], ends[b]
+            rows.append((bucket, *documents, _streamed(pa.array([t for _, t in known[a:b]])), _packed(np.diff(ends[a : b + 1])), _packed(own[p:q]), _packed(tf[p:q]), _packed(place[at[p] : at[q]]), *who))
+    return _rows(rows)
+
+
+def _joined(pieces: pa.Table) -> pa.Table:
+    """Rows of one bucket that go into one window, as one row; ``offset`` has the documents before each.
+
+    A window without a term of the bucket has no row here: its documents keep their numbers, without keys and lengths.
+    """
+    parts = sorted(pieces.to_pylist(), key=lambda r: r["offset"])
+    names = [_values(r["terms"]).to_pylist() for r in parts]
+    known = sorted({t for ts in names for t in ts})
+    number = {t: i for i, t in enumerate(known)}
+    whole, words = parts[0]["whole"], parts[0]["words"]
+    keys, dls, have = [], np.zeros(whole, np.int32), 0
+    term, docs, tfs, places = [], [], [], []
+    for r, ts in zip(parts, names, strict=True):
+        sizes = _unpacked(r["sizes"], len(ts))
+        term.append(np.repeat(np.array([number[t] for t in ts], np.int64), sizes))
+        docs.append(_unpacked(r["docs"], sizes.sum()) + r["offset"])
+        tfs.append(_unpacked(r["tfs"], sizes.sum()))
+        places.append(_unpacked(r["places"], tfs[-1].sum()))
+        own = _values(r["keys"])
+        keys += [pa.nulls(r["offset"] - have, own.type), own]
+        have = r["offset"] + len(own)
+        dls[r["offset"] : have] = _unpacked(r["dls"], r["n"])
+    keys.append(pa.nulls(whole - have, own.type))
+    term, docs, tfs, places = (np.concatenate(x) for x in (term, docs, tfs, places))
+    order = np.argsort(term, kind="stable")
+    moved = places[np.argsort(np.repeat(term, tfs), kind="stable")]
+    row = (parts[0]["bucket"], parts[0]["into"], whole, words, _streamed(pa.array(known)), _packed(np.bincount(term)), _packed(docs[order]), _packed(tfs[order]), _packed(moved), _streamed(pa.concat_arrays(keys)), _packed(dls))
+    return pa.Table.from_batches([_rows([row])])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], terms: list[str], placed: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``terms`` from stored rows, with places by posting if ``placed``."""
+    wanted = pa.array(terms)
     for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for part in pa.ipc.open_stream(blob):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, bucket, np.int32)), *part.columns], ["bucket", *part.schema.names])
+        heads, best_tf, best_dl, docs, keys, tfs, dls, places = ([] for _ in range(8))
+        for r in batch.to_pylist():
+            names = _values(r["terms"])
+            found = np.flatnonzero(pc.is_in(names, value_set=wanted).to_numpy(zero_copy_only=False))
+            if not len(found):
+                continue
+            ends = np.cumsum(_unpacked(r["sizes"], len(names)))
+            all_docs, all_tfs, lengths, owners = _unpacked(r["docs"], ends[-1]), _unpacked(r["tfs"], ends[-1]), _unpacked(r["dls"], r["n"]), _values(r["keys"])
+            at = np.append(0, np.cumsum(all_tfs))
+            all_places = _unpacked(r["places"], at[-1]) if placed else None
+            for t in found:
+                a, b = ends[t - 1] if t else 0, ends[t]
+                own, tf = all_docs[a:b], all_tfs[a:b]
+                dl = lengths[own]
+                best = _frontier(np.zeros(b - a, np.int64), tf, dl)
+                name = names[int(t)].as_py()
+                heads.append((r["segment"], name, r["window"], b - a, tf.sum() if name else r["total"]))
+                for held, part in ((best_tf, tf[best]), (best_dl, dl[best]), (docs, own), (tfs, tf), (dls, dl), (keys, owners.take(pa.array(own)))):
+                    held.append(part)
+                places.append(all_places[at[a] : at[b]] if placed else own[:0])
+        if heads:
+            ints = lambda parts: _int_lists(np.concatenate(parts), np.cumsum([len(x) for x in parts]))
+            posted, counts = np.cumsum([len(x) for x in docs]), np.concatenate(tfs)
+            each = _int_lists(np.concatenate(places), np.cumsum(counts if placed else 0 * counts))
+            head = [pa.array(c, t) for c, t in zip(zip(*heads, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            made = [*head, ints(best_tf), ints(best_dl), ints(docs), _lists(pa.concat_arrays(keys), posted), ints(tfs), ints(dls), _lists(each, posted)]
+            yield pa.RecordBatch.from_arrays(made, ["segment", "term", "window", "n", "total", "top_tf", "top_dl", "docs", "keys", "tfs", "dls", "places"])
 
 
 class TextIndex:
-    """An index in a folder, by keys of type bigint, int or string. A bucket and a file of it are one task's work when a
-    segment is written, so ``buckets`` or ``files`` should grow with the texts (128 for 1 GB). ``analyser`` maps the distinct words of a window to terms, or None for words to leave out; the same one must be given again when the index is opened."""
+    """An index in a folder, by keys of type bigint, int or string. A query reads the whole buckets of its terms, so
+    ``buckets`` should grow with the texts (128 for 1 GB); a bucket of a segment has ``files`` files at least, if it has
+    windows enough. ``analyser`` maps the distinct words of a window to terms, or None for words to leave out; the same one must be given again when the index is opened."""
 
     def __init__(self, spark: SparkSession, path: str, key_type: str = "bigint", buckets: int = 128, files: int = 1, analyser: Analyser | None = None) -> None:
         self.spark, self.path, self.key_type, self.buckets, self.files, self.analyser = spark, path.rstrip("/"), key_type, buckets, files, analyser
@@ -162,7 +216,8 @@ class TextIndex:
 
     @property
     def schema(self) -> str:
-        return f"term string, window bigint, n int, total bigint, top_tf array<int>, top_dl array<int>, docs array<int>, keys array<{self.key_type}>, tfs array<int>, dls array<int>, places array<int>"
+        """Of blocks; each posting has a list of places."""
+        return f"segment string, term string, window bigint, n int, total bigint, top_tf array<int>, top_dl array<int>, docs array<int>, keys array<{self.key_type}>, tfs array<int>, dls array<int>, places array<array<int>>"
 
     def refresh(self) -> None:
         """Read the commit rows: which segments are live, and their sums."""
@@ -199,7 +254,7 @@ class TextIndex:
                 start = 0
                 while whole is not None and whole.num_rows - start >= most and start < whole.num_rows:
                     part = whole.slice(start, WINDOW).combine_chunks()
-                    yield packed(_window_blocks(part.column(0).combine_chunks(), part.column(1).combine_chunks(), analyse, window), buckets)
+                    yield _window_rows(part.column(0).combine_chunks(), part.column(1).combine_chunks(), analyse, window, buckets)
                     window, start = window + 1, start + WINDOW
                 held = whole.slice(start).to_batches() if whole is not None else []
 
@@ -209,76 +264,77 @@ class TextIndex:
                     yield from flushed(WINDOW)
             yield from flushed(1)
 
-        blocks = docs.select(F.col(key).cast(kind).alias("key"), T.tokens(F.col(text)).alias("words")).mapInArrow(body, PACKED)
-        self._write(blocks, [])
+        rows = docs.select(F.col(key).cast(kind).alias("key"), T.tokens(F.col(text)).alias("words")).mapInArrow(body, ROWS)
+        self._write(rows, [])
 
-    def _write(self, blocks: DataFrame, replaces: list[str]) -> None:
+    def _write(self, rows: DataFrame, replaces: list[str]) -> None:
         segment = uuid.uuid4().hex
         folder = f"{self.path}/segments/{segment}"
-        # A term that most documents have has a block in every window: ``files`` spreads its bucket over so many tasks.
-        spread = [F.pmod(F.xxhash64("blob"), F.lit(self.files))] if self.files > 1 else []
-        tasks = (self.buckets + 1) * self.files
-        # Every bucket gets a row without a term, so that every folder is there to be read.
-        marks = self.spark.range(-1, self.buckets, numPartitions=1).select(F.col("id").cast("int").alias("bucket"), F.lit(_mark(self.key_type)).alias("blob"))
-        placed = blocks.unionByName(marks).repartition(tasks, "bucket", *spread).mapInArrow(unpacked, f"bucket int, {self.schema}")
-        placed.sortWithinPartitions("bucket", "term", "window").write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
-        documents = self.spark.read.schema(self.schema).parquet(f"{folder}/bucket={DOCUMENTS}").filter("term = ''")
+        # Every bucket gets a row without a window, so that every folder is there to be read.
+        marks = self.spark.range(-1, self.buckets, numPartitions=1).selectExpr("cast(id AS int) AS bucket")
+        # By bucket, and tasks of a fitting size: a large bucket is written by several, small ones by one together.
+        placed = rows.unionByName(marks, allowMissingColumns=True).withColumn("file", F.pmod(F.xxhash64("window"), F.lit(self.files)))
+        placed = placed.hint("rebalance", (self.buckets + 1) * self.files, "bucket", "file").drop("file")
+        placed.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
+        documents = self.spark.read.schema(STORED).parquet(f"{folder}/bucket={DOCUMENTS}").filter("window IS NOT NULL")
         row = documents.agg(F.lit(segment).alias("segment"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.count("*").alias("windows"), F.array(*[F.lit(s) for s in replaces]).cast("array<string>").alias("replaces"))
         row.coalesce(1).write.parquet(f"{self.path}/commits/{segment}")
         self.refresh()
 
-    def _segment(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/segments/{name}").filter("term IS NOT NULL").withColumn("segment", F.lit(name))
+    def _segment(self, name: str, *buckets: int) -> DataFrame:
+        """Stored rows of a segment: of all buckets, or of some without their numbers."""
+        folder = f"{self.path}/segments/{name}"
+        read = self.spark.read.schema(STORED if buckets else ROWS)
+        rows = read.parquet(*[f"{folder}/bucket={b}" for b in buckets] or [folder])
+        return rows.filter("window IS NOT NULL").withColumn("segment", F.lit(name))
 
     def merge(self, smaller_than: int | None = None) -> None:
-        """Pack the live segments (those of fewer documents than ``smaller_than``) into one of full windows."""
+        """Pack the live segments (those of fewer documents than ``smaller_than``) into one; windows that are not full are joined until they are."""
         old = [r for r in self.live if smaller_than is None or r.n_docs < smaller_than]
         if len(old) < 2:
             return
         ship_code(self.spark)
-        windows = max(1, -(-sum(r.n_docs for r in old) // WINDOW))
-        rows = reduce(DataFrame.unionByName, [self._segment(r.segment) for r in old])
-        # Whole windows go together; a document is numbered behind those of the windows before its own.
-        placed = rows.filter("term = ''").select("segment", "window", "n", F.pmod(F.xxhash64("segment", "window"), F.lit(windows)).alias("into"))
-        before = Window.partitionBy("into").orderBy("segment", "window").rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.select("segment", "window", "into", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("offset"))
-        moved = rows.join(placed, ["segment", "window"]).withColumn("docs", F.transform("docs", lambda d: d + F.col("offset")))
-        fields = ("docs", "keys", "tfs", "dls", "at")
-        moved = moved.withColumn("at", F.expr(PLACES))
-        gathered = moved.groupBy("term", F.col("into").alias("window")).agg(F.sum("n").cast("int").alias("n"), F.sum("total").alias("total"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip(*fields)))).alias("p"))
-        flat = gathered.select("term", "window", "n", "total", *[F.col(f"p.{f}").alias(f) for f in fields[:4]], F.flatten("p.at").alias("places"))
-
-        buckets = self.buckets
-
-        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                tf, dl = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tfs", "dls"))
-                row = np.repeat(np.arange(batch.num_rows), batch.column("tfs").value_lengths().to_numpy(zero_copy_only=False))
-                best = _frontier(row, tf, dl)
-                ends = _ends(row[best], batch.num_rows)
-                made = {**{c: batch.column(c) for c in ("term", "window", "n", "total")}, "top_tf": _int_lists(tf[best], ends), "top_dl": _int_lists(dl[best], ends), **{c: batch.column(c) for c in ("docs", "keys", "tfs", "dls", "places")}}
-                yield packed(pa.RecordBatch.from_arrays(list(made.values()), list(made)), buckets)
-
-        self._write(flat.mapInArrow(bounded, PACKED), [r.segment for r in old])
-
-    def blocks(self, terms: list[str]) -> DataFrame:
-        """Blocks of ``terms``, from their buckets alone."""
+        # One row a window: where it goes, and how many documents stand before its own there.
+        windows = reduce(DataFrame.unionByName, [self._segment(r.segment, DOCUMENTS) for r in old])
+        order, same = Window.orderBy("segment", "window"), Window.partitionBy("into")
+        before = F.coalesce(F.sum(F.when(F.col("n") < WINDOW, F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = windows.select("segment", "window", "n", "total", before.alias("start"), F.row_number().over(order).cast("bigint").alias("row"))
+        placed = placed.selectExpr("segment", "window", "n", "total", "start", f"IF(n < {WINDOW}, -1 - start div {WINDOW}, row) AS into")
+        joint = {"offset": F.col("start") - F.min("start").over(same), "together": F.count("*").over(same), "whole": F.sum("n").over(same), "words": F.sum("total").over(same)}
+        placed = placed.select("segment", "window", "into", *[c.alias(name) for name, c in joint.items()])
+        rows = reduce(DataFrame.unionByName, [self._segment(r.segment) for r in old]).join(F.broadcast(placed), ["segment", "window"])
+        names = [c.split()[0] for c in ROWS.split(", ")]
+        alone = rows.filter("together = 1").withColumn("window", F.col("into")).select(names)
+        joined = rows.filter("together > 1").groupBy("bucket", "into").applyInArrow(_joined, ROWS)
+        self._write(alone.unionByName(joined), [r.segment for r in old])
+
+    def blocks(self, terms: list[str], placed: bool = False, windows: DataFrame | None = None) -> DataFrame:
+        """Blocks of ``terms``, from their buckets alone, in all windows or those of ``windows`` (segment, window); places only if ``placed``."""
         wanted = sorted({self.bucket_of(t) for t in terms})
-        parts = []
-        for r in self.live:
-            paths = [f"{self.path}/segments/{r.segment}/bucket={b}" for b in wanted]
-            parts.append(self.spark.read.schema(self.schema).parquet(*paths).withColumn("segment", F.lit(r.segment)))
-        if not parts or not wanted:
-            return self.spark.createDataFrame([], self.schema).withColumn("segment", F.lit(""))
-        return reduce(DataFrame.unionByName, parts).filter(F.col("term").isin(terms))
+        if not self.live or not wanted:
+            return self.spark.createDataFrame([], self.schema)
+        ship_code(self.spark)
+        rows = reduce(DataFrame.unionByName, [self._segment(r.segment, *wanted) for r in self.live])
+        rows = rows if windows is None else rows.join(windows, ["segment", "window"], "left_semi")
+        rows = rows.select("segment", "window", "n", "total", "terms", "sizes", "docs", "tfs", "keys", "dls", *(["places"] if placed else []))
+        return rows.mapInArrow(lambda batches: _blocks(batches, terms, placed), self.schema)
 
     def vocabulary(self) -> DataFrame:
         """(term, n_docs, n_occurrences) of the whole index."""
-        rows = [self._segment(r.segment).select("term", "n", "total") for r in self.live]
-        if not rows:
+        if not self.live:
             return self.spark.createDataFrame([], "term string, n_docs bigint, n_occurrences bigint")
-        # The rows of the documents, and those that mark a bucket, have no term.
-        return reduce(DataFrame.unionByName, rows).filter("term <> ''").groupBy("term").agg(F.sum("n").alias("n_docs"), F.sum("total").alias("n_occurrences"))
+        ship_code(self.spark)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    names = _values(r["terms"])
+                    sizes = _unpacked(r["sizes"], len(names))
+                    totals = np.add.reduceat(_unpacked(r["tfs"], sizes.sum()), np.cumsum(sizes) - sizes, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([names, pa.array(sizes), pa.array(totals)], ["term", "n", "total"])
+
+        rows = reduce(DataFrame.unionByName, [self._segment(r.segment) for r in self.live]).filter(f"bucket <> {DOCUMENTS}")
+        return rows.select("terms", "sizes", "tfs").mapInArrow(counted, "term string, n int, total bigint").groupBy("term").agg(F.sum("n").alias("n_docs"), F.sum("total").alias("n_occurrences"))
 
     def _terms(self, words: list[str]) -> list[str | None]:
         """Terms of query words, None for those that the analyser leaves out."""
@@ -304,7 +360,8 @@ class TextIndex:
         phrases = {t for g in groups for _, ts in g if len(ts) > 1 for _, t in ts}
         if not ranked and not listed:
             return self.spark.createDataFrame([], f"`{key}` {self.key_type}, score double")
-        blocks = self.blocks([*needed, *([""] if listed else [])])
+        asked = [*needed, *([""] if listed else [])]
+        blocks = self.blocks(asked, bool(phrases))
         # Expressions are SQL text: one call for each, where columns built up piece by piece take hundreds.
         numbers = blocks.agg(*[F.expr(f"coalesce(sum(CASE WHEN term = {T.sql_string(t)} THEN n END), 0L) AS df{i}") for i, t in enumerate(ranked)] or [F.expr("0 AS df")])
         mean = T.sql_double(self.mean_length)
@@ -329,11 +386,10 @@ class TextIndex:
             return " OR ".join("(" + " AND ".join(one(*t) for t in g) + ")" for g in groups)
 
         def scored(rows: DataFrame) -> DataFrame:
-            zipped = "docs, keys, tfs, dls" + (", at" if phrases else "")
-            rows = rows.withColumn("at", F.expr(PLACES)) if phrases else rows
+            zipped = "docs, keys, tfs, dls" + (", places" if phrases else "")
             p = rows.selectExpr("segment", "window", "term", f"explode(arrays_zip({zipped})) AS p")
             count = [f"coalesce(max(CASE WHEN term = {T.sql_string(t)} THEN p.tfs END), 0) AS tf{i}" for i, t in enumerate(needed)]
-            where = [f"max(CASE WHEN term = {T.sql_string(t)} THEN p.at END) AS at{i}" for i, t in enumerate(needed) if t in phrases]
+            where = [f"max(CASE WHEN term = {T.sql_string(t)} THEN p.places END) AS at{i}" for i, t in enumerate(needed) if t in phrases]
             each = p.groupBy("segment", "window", "p.docs").agg(*[F.expr(x) for x in ("max(p.keys) AS key", "max(p.dls) AS dl", *count, *where)]).filter(passes())
             total = " + ".join(idf(i) + share(f"tf{i}", "dl") for i in range(len(ranked))) or "0.0D"
             return each.join(F.broadcast(numbers)).selectExpr(f"key AS `{key}`", f"round({total}, 6) AS score")  # numbers is one row
@@ -345,6 +401,6 @@ class TextIndex:
         bounds = blocks.filter(F.col("term").isin(ranked)).selectExpr("segment", "window", "term", f"{most} AS most").join(F.broadcast(numbers))
         bounds = bounds.groupBy("segment", "window").agg(F.expr(f"sum({weight} * most) + {T.sql_double(ROUNDING)} AS bound"))
         first = bounds.orderBy(F.desc("bound"), "segment", "window").limit(PROBE)
-        kth = scored(blocks.join(F.broadcast(first), ["segment", "window"], "left_semi")).orderBy(F.desc("score")).limit(k).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        kth = scored(self.blocks(asked, bool(phrases), F.broadcast(first))).orderBy(F.desc("score")).limit(k).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
         worth = bounds.join(F.broadcast(kth)).filter(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).select("segment", "window")
-        return scored(blocks.join(worth, ["segment", "window"], "left_semi"))
+        return scored(self.blocks(asked, bool(phrases), F.broadcast(worth)))  # a row a window at most

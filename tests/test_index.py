@@ -90,6 +90,42 @@ def test_segments(spark, docs, tmp_path, monkeypatch):
     assert as_set(I.TextIndex(spark, f"file://{tmp_path}/i", buckets=4, files=2).scores(["alfa", "raro"])) == want
 
 
+def test_merge_of_windows_with_few_terms(spark, tmp_path, monkeypatch):
+    """Windows that are not full are joined, full ones kept; most of them have no term in most of the buckets."""
+    monkeypatch.setattr(I, "WINDOW", 4)
+    texts = ["um dois dois", "tres", "quatro um", "", "cinco seis sete um", "oito", "dois um um dois", "nove um", "dez dois um", "onze"]
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index = I.TextIndex(spark, f"file://{tmp_path}/i", buckets=16)
+    for a, b in ((0, 1), (1, 2), (2, 6), (6, 8), (8, 10)):
+        index.append(docs.filter(f"doc_id BETWEEN {100 + a} AND {99 + b}").coalesce(1))
+    words = as_set(index.vocabulary())
+    index.merge()
+    assert len(index.live) == 1 and index.n_docs == len(texts) and as_set(index.vocabulary()) == words
+    for terms in (["um"], ["dois", "onze"], ["tres"], ["nove", "um"]):
+        assert as_set(index.scores(terms)) == as_set(R.bm25(docs, terms))
+    for phrase in ("um dois", "dois um", "um um", "seis sete um"):
+        want = [100 + i for i, t in enumerate(texts) if f" {phrase} " in f" {t} "]
+        assert sorted(r.doc_id for r in index.scores([], query=f'"{phrase}"').collect()) == want
+    assert sorted(r.doc_id for r in index.scores([], query="-um").collect()) == [101, 103, 105, 109]
+    windows = index.blocks([""]).select("n", "docs", "dls").collect()
+    assert max(r.n for r in windows) < 2 * I.WINDOW and all(sorted(r.docs) == list(range(r.n)) for r in windows) and sum(r.n for r in windows) == len(texts)
+    index.append(docs.limit(1))
+    index.merge()
+    assert len(index.live) == 1 and index.n_docs == len(texts) + 1
+
+
+def test_stored_rows_follow_windows_not_terms(spark, tmp_path):
+    """What an append or a merge sorts, moves and writes is a row for each bucket of a window, however many terms there are."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + j * 13) % 997}" for j in range(200))) for i in range(60)], "doc_id long, text string").coalesce(2)
+    index = I.TextIndex(spark, f"file://{tmp_path}/i", buckets=2)
+    for part in range(3):
+        index.append(docs.filter(f"doc_id % 3 = {part}"))
+    index.merge()
+    (live,) = index.live
+    assert spark.read.parquet(f"file://{tmp_path}/i/segments/{live.segment}").count() <= 3 * (live.windows + 1)
+    assert as_set(index.scores(["w13", "w26"])) == as_set(R.bm25(docs, ["w13", "w26"]))
+
+
 def test_stems_and_stop_words(spark, docs, tmp_path, monkeypatch):
     index = index_of(spark, docs, tmp_path / "i", monkeypatch, 64, buckets=4, analyser=portuguese.analyse)
     stems = [(k, [s for s in portuguese.analyse(re.findall(r"\w+", (t or "").lower())) if s]) for k, t in corpus()]
