@@ -113,31 +113,36 @@ def _window_rows(keys: pa.Array, words: pa.ListArray, analyse: Analyser | None,
     names = coded.dictionary.to_pylist()
     # The analyser sees every distinct word of the window once.
     terms = names if analyse is None else analyse(names)
+    distinct = {t: i for i, t in enumerate(dict.fromkeys(filter(None, terms)))}
+    at = np.array([zlib.crc32(t.encode()) % buckets for t in distinct], np.int64)
     # Terms are numbered bucket by bucket, so that those of a bucket stand together, as their postings then do.
-    known = sorted((zlib.crc32(t.encode()) % buckets, t) for t in {t for t in terms if t})
-    number_of = {t: i for i, (_, t) in enumerate(known)}
-    number = np.array([number_of.get(t, -1) for t in terms], np.int64)
-    term = number[coded.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
+    by_bucket = np.argsort(at, kind="stable")
+    number = np.full(len(distinct) + 1, -1)  # the last is that of words left out
+    number[by_bucket] = np.arange(len(distinct))
+    known = pa.array(distinct, pa.string()).take(pa.array(by_bucket))
+    term = number[[distinct.get(t, -1) for t in terms]][coded.indices.to_numpy(zero_copy_only=False)] if names else number[:0]
     doc = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     doc, place, term = doc[term >= 0], place[term >= 0], term[term >= 0]
     dl = np.bincount(doc, minlength=len(lengths))
-    pair = term * len(lengths) + doc
-    order = np.argsort(pair, kind="stable")
-    pairs, first = np.unique(pair[order], return_index=True)
-    row, own = np.divmod(pairs, max(1, len(lengths)))
+    # Documents and places are in order, so terms alone are sorted: by halves, since stable sorts of 16 bits are linear.
+    order = np.argsort(term.astype(np.uint16), kind="stable")
+    order = order[np.argsort((term[order] >> 16).astype(np.uint16), kind="stable")]
+    term, doc, place = term[order], doc[order], place[order]
+    first = np.flatnonzero(np.diff(term * len(lengths) + doc, prepend=-1))
+    row, own = term[first], doc[first]
     # The postings, and the places, up to each term; places of a posting stand one after another.
-    ends, at = np.searchsorted(row, np.arange(len(known) + 1)), np.append(first, len(order))
-    place, tf = place[order], np.diff(at)
+    ends, upto = np.append(0, np.cumsum(np.bincount(row, minlength=len(known)))), np.append(first, len(term))
+    tf = np.diff(upto)
     documents = (window, len(lengths), int(dl.sum()))
     who = (_streamed(keys), _packed(dl))
     zeros = np.zeros(len(lengths), np.int32)
     rows = [(DOCUMENTS, *documents, _streamed(pa.array([""])), _packed(np.array([len(lengths)])), _packed(np.arange(len(lengths))), _packed(zeros), _packed(zeros[:0]), *who)]
-    cuts = np.searchsorted([b for b, _ in known], np.arange(buckets + 1))
-    for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a < b:
-            p, q = ends[a], ends[b]
-            rows.append((bucket, *documents, _streamed(pa.array([t for _, t in known[a:b]])), _packed(np.diff(ends[a : b + 1])), _packed(own[p:q]), _packed(tf[p:q]), _packed(place[at[p] : at[q]]), *who))
+    cuts = np.append(0, np.cumsum(np.bincount(at, minlength=buckets)))
+    for bucket in np.unique(at):
+        a, b = cuts[bucket], cuts[bucket + 1]
+        p, q = ends[a], ends[b]
+        rows.append((bucket, *documents, _streamed(known[a:b]), _packed(np.diff(ends[a : b + 1])), _packed(own[p:q]), _packed(tf[p:q]), _packed(place[upto[p] : upto[q]]), *who))
     return _rows(rows)
 
 
